@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+_COLUMNS = ["key", "ts", "seq", "cost", "quota"]
 _STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("window", "quota", "used", "last")])
 
 
@@ -25,14 +26,13 @@ class Bucket(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         state = tuple(self._state.get()) if self._state.exists() else None
         for batch in rows:
-            print(batch.columns, len(batch), flush=True)
-            batch = batch.sort_values(["_ts", "_seq"], kind="stable").reset_index(drop=True)
+            batch = batch.set_axis(_COLUMNS, axis="columns").sort_values(["ts", "seq"], kind="stable").reset_index(drop=True)
             verdicts = []
-            for at, cost, quota in zip(batch["_ts"], batch["_cost"], batch["_quota"], strict=True):
+            for at, cost, quota in zip(batch["ts"], batch["cost"], batch["quota"], strict=True):
                 state, verdict = self._take(state, int(at), int(cost), int(quota))
                 verdicts.append(verdict)
             yield pd.DataFrame(
-                {"key": key[0], "seq": batch["_seq"], "cost": batch["_cost"], "admitted": verdicts}
+                {"key": key[0], "seq": batch["seq"], "cost": batch["cost"], "admitted": verdicts}
             )
         if state is not None:
             self._state.update(state)

@@ -16,12 +16,12 @@ class Bucket(StatefulProcessor):
     """Window, quota and tokens of one key; requests are taken in order of arrival, and in order of
     (ts, seq) within an Arrow batch. A late request counts against the current window."""
 
-    def __init__(self, window_seconds: int, policy: str, anchor: str, idle_seconds: int):
+    def __init__(self, window_seconds: int, policy: str, anchor: str, idle_seconds: int | None):
         self._width = window_seconds * 1_000_000
         self._policy, self._anchor, self._idle = policy, anchor, idle_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("bucket", _STATE, ttlDurationMs=self._idle * 1000)
+        self._state = handle.getValueState("bucket", _STATE, ttlDurationMs=self._idle and self._idle * 1000)
 
     def handleInputRows(self, key, rows, timerValues):
         state = tuple(self._state.get()) if self._state.exists() else None
@@ -69,11 +69,13 @@ def admit_stream(
     window_seconds: int = 10,
     policy: str = "refill",
     anchor: str = "tick",
-    idle_seconds: int = 86_400,
+    idle_seconds: int | None = None,
 ) -> DataFrame:
     """Streaming ``admit``: ``key, seq, cost, admitted``. Needs the RocksDB state store.
 
-    The state of a key is four numbers and is dropped after ``idle_seconds`` without a request.
+    The state of a key is four numbers. With ``idle_seconds`` it is dropped after that long without
+    a request; such a query keeps checking the clock, so it suits a processing-time trigger and
+    never drains.
     """
     quota = F.lit(max_tps) if isinstance(max_tps, int) else F.col(max_tps)
     rows = requests.select(
@@ -92,5 +94,5 @@ def admit_stream(
         ]
     )
     return rows.groupBy("_key").transformWithStateInPandas(
-        Bucket(window_seconds, policy, anchor, idle_seconds), out, "Append", "ProcessingTime"
+        Bucket(window_seconds, policy, anchor, idle_seconds), out, "Append", "None" if idle_seconds is None else "ProcessingTime"
     )

@@ -15,9 +15,9 @@ before the shuffle. Where a group stays within its quota nothing else happens. O
 the quota is crossed are ordered row by row. The greedy ``refill`` of unequal costs keeps, per
 group and cost, the first rows that fit the quota on their own: tokens never grow inside a window,
 so of each cost a prefix is admitted and everything beyond those rows is certainly refused. What
-the fold sees is therefore bounded by the quota, not by the data. The full rows join the decisions;
-groups that need one are the exception, so the decision side is small enough for Spark to
-broadcast it by its measured size, and otherwise the join is keyed by group and split on skew.
+the fold sees is therefore bounded by the quota, not by the data. Decisions are written as a side
+table, and only then joined to the full rows: groups within their quota have no entry in it, so it
+is usually small enough for Spark to broadcast, and the rows themselves are never shuffled.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from logloom.operators.chain import cell, chain
 from logloom.operators.running import totals_before
 from logloom.schema import LIMIT_EXCEEDED
+from logloom.session import stored
 
 # Limiter names as configured -> (policy, anchor).
 LIMITERS = {
@@ -114,7 +115,7 @@ def _first_hit_windows(keyed: DataFrame, window_seconds: int) -> DataFrame:
     width = window_seconds * 1000
     hits = keyed.withColumn("_ms", F.expr("(_ts - pmod(_ts, 1000L)) div 1000L"))
     opened = (
-        chain(hits, ["_key"], "_ms", width)
+        stored(chain(hits, ["_key"], "_ms", width), "windows")
         .withColumn("_cell", cell("anchor", width))
         .select(F.col("_key").alias("_wkey"), "anchor", F.explode(F.expr("array(_cell, _cell + 1)")).alias("_wcell"))
     )
@@ -153,7 +154,7 @@ def _by_running_total(keyed: DataFrame) -> DataFrame:
         totals_before(sums, _GROUP, "_slice", "_amount").filter("_before + _amount > _low"),
         "_c", at, "_before", "_high",
     )
-    marked = keyed.join(contested, _on(at, "_c"), "left")
+    marked = keyed.join(stored(contested, "contested"), _on(at, "_c"), "left")
     settled = marked.filter("_before IS NULL OR _before > _high")
     crossing = marked.filter("_before <= _high")
     inside = W.partitionBy(*at).orderBy("_ts", "_seq").rowsBetween(W.unboundedPreceding, 0)
@@ -191,7 +192,7 @@ def _by_refill(keyed: DataFrame, steady: bool, carry: bool) -> DataFrame:
             }
         )
     limits = _limits(narrow, sums, groups.filter("NOT _moving AND _total > _tokens"))
-    decided = keyed.join(limits, _on(_GROUP, "_l"), "left").withColumn(
+    decided = keyed.join(stored(limits, "limits"), _on(_GROUP, "_l"), "left").withColumn(
         "admitted",
         (F.col("_cost") == 0)
         | F.col("_ltokens").isNull()
@@ -206,7 +207,7 @@ def _by_refill(keyed: DataFrame, steady: bool, carry: bool) -> DataFrame:
         return decided
     replayed = _replay(narrow, groups.filter("_moving"), carry)
     row = [*_GROUP, "_ts", "_seq"]
-    return decided.join(replayed, _on(row, "_r"), "left").withColumn(
+    return decided.join(stored(replayed, "replayed"), _on(row, "_r"), "left").withColumn(
         "admitted", F.coalesce("_radmitted", "admitted")
     )
 

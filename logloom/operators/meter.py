@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.operators.quantiles import exact_quantiles
+
 QUANTILES = (0.5, 0.9, 0.99)
 
 
@@ -32,12 +34,13 @@ def sum_by(
 def latency_by(
     df: DataFrame, value: str, *labels: str, exact: bool = False, accuracy: int = 10_000, every: str | None = None, ts: str = "ts"
 ) -> DataFrame:
-    """Quantiles, count and sum. Quantile sketches merge and stay small; ``exact`` counts every
-    distinct value and suits small label groups only."""
+    """Quantiles, count and sum. The default sketch has a rank error of ``1 / accuracy``, merges and
+    works on a stream; ``exact`` (batch only) finds the very value at each quantile's rank."""
     if exact:
-        quantiles = F.percentile(value, F.lit(list(QUANTILES)))
-    else:
-        quantiles = F.percentile_approx(value, list(QUANTILES), accuracy)
+        if every:
+            df = df.withColumn("window_start", F.window(ts, every).start)
+        return exact_quantiles(df, value, [*labels, "window_start"] if every else list(labels), QUANTILES, accuracy)
+    quantiles = F.percentile_approx(value, list(QUANTILES), accuracy)
     return (
         df.groupBy(*_keys(list(labels), every, ts))
         .agg(quantiles.alias("_q"), F.count(value).alias("n"), F.sum(value).alias("total"))

@@ -5,16 +5,13 @@ The SQL constants are common table expressions for the DuckDB side of the compar
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.functions.document import log_bytes, rate_key, topic_name
 from logloom.schema import COLLECTION_FORMAT, FORMAT_HEADER
-from logloom.session import checkpoint_dir
+from logloom.session import scratch  # noqa: F401 - queries write below i.scratch
 
 # One second of arrival time stands for one hour of event time, so that rate-limit windows of
 # seconds hold enough requests to be contested.
@@ -26,13 +23,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh output folder: in the cluster's shared folder where one is named."""
-    shared = checkpoint_dir(spark)
-    leaf = f"{name}-{uuid.uuid4().hex}"
-    return f"{shared.rstrip('/')}/logloom/{leaf}" if shared else f"{tempfile.mkdtemp(prefix='logloom-')}/{leaf}"
-
-
 def from_events(events: DataFrame) -> DataFrame:
     """Events as log records: envelope context, arrival time, JSON content."""
     i = F.col("event_id")

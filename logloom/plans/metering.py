@@ -118,12 +118,12 @@ _QUANTILES = """quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p
 
 @query("m_latency_by_topic", f"WITH {i.LOGS} SELECT topic, {_QUANTILES} FROM logs GROUP BY topic")
 def m_latency_by_topic(spark, sf):
-    return _rounded(meter.latency_by(i.logs(spark, sf), "value", "topic"))
+    return _rounded(meter.latency_by(i.logs(spark, sf), "value", "topic", exact=True))
 
 
 @query("m_latency", f"SELECT {_QUANTILES} FROM events")
 def m_latency(spark, sf):
-    return _rounded(meter.latency_by(i.logs(spark, sf), "value"))
+    return _rounded(meter.latency_by(i.logs(spark, sf), "value", exact=True))
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,6 +22,27 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate or output tables, in the cluster's shared folder."""
+    shared = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="logloom-")
+    return f"{shared.rstrip('/')}/logloom/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a side table and read it back.
+
+    The lineage ends at a table that outlives executors, the work behind it runs once however
+    often the table is used, and its size is known before the join that uses it is planned: Spark
+    broadcasts it only within ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles
+    both sides, splitting skewed keys. Without this a big side is shuffled before anyone knows
+    how small the other one is.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, cores: int | None = None) -> DataFrame:
     """Round-robin a small scan over the cores before regex-heavy projections.
 

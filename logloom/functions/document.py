@@ -1,13 +1,12 @@
-"""Columns derived from one log record: routing names, search documents, archive lines, sizes."""
+"""Columns derived from one log record: routing names, error classes, sizes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from logloom.functions.regex import replace_all, to_java_regex
-from logloom.schema import APP_GROUP_KEY, CONTENT_MISSING, FIELDS_MISSING, JSON_ERROR
+from logloom.schema import APP_GROUP_KEY
 
 RFC3339 = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 DEFAULT_SUFFIX = "_logs"
@@ -95,66 +94,6 @@ def log_bytes(*fields: Column, names: tuple[str, ...] = ()) -> Column:
     return F.octet_length(F.to_json(F.struct(*named)))
 
 
-def search_document(content: Column, timestamp: Column) -> Column:
-    """``struct(document, error)``: the content with ``@timestamp`` added where it is absent.
-
-    A present ``@timestamp`` is kept even when its value is null.
-    """
-    parsed = F.try_parse_json(content)
-    body = F.to_json(parsed)
-    stamped = F.array_contains(F.json_object_keys(content), "@timestamp")
-    stamp = F.substring(F.to_json(F.struct(F.coalesce(timestamp, F.lit("")).alias("@timestamp"))), 2, 1 << 30)
-    empty = F.size(F.json_object_keys(content)) == 0
-    added = F.concat(
-        F.substring(body, F.lit(1), F.length(body) - 1), F.when(empty, F.lit("")).otherwise(F.lit(",")), stamp
-    )
-    is_object = F.json_object_keys(content).isNotNull()
-    error = (
-        F.when(content.isNull(), CONTENT_MISSING)
-        .when(parsed.isNull(), JSON_ERROR)
-        .when(~is_object, FIELDS_MISSING)
-    )
-    document = F.when(error.isNull(), F.when(stamped, body).otherwise(added))
-    return F.struct(document.alias("document"), error.alias("error"))
-
-
-def archive_line(content: Column, simple: bool = True) -> Column:
-    """``struct(line, error)``: the short archive form, or the whole content when not ``simple``.
-
-    The short form is ``{"message", "log_tag", "log_time"}``; a message that looks like JSON is
-    embedded as JSON and must then be valid.
-    """
-    parsed = F.try_parse_json(content)
-    if not simple:
-        error = F.when(content.isNull(), CONTENT_MISSING).when(parsed.isNull(), JSON_ERROR)
-        return F.struct(F.when(error.isNull(), F.to_json(parsed)).alias("line"), error.alias("error"))
-
-    def text_at(path: str) -> Column:
-        found = F.try_variant_get(parsed, path, "variant")
-        return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(parsed, path, "string"))
-
-    container = F.try_variant_get(parsed, "$.k8s_metadata.container_name", "variant")
-    message = text_at('$["@message"]')
-    first = F.left(message, F.lit(1))
-    embedded = first.isin("{", "[")
-    as_json = F.when(embedded, F.try_parse_json(message))
-    is_object = F.json_object_keys(content).isNotNull()
-    error = (
-        F.when(content.isNull(), CONTENT_MISSING)
-        .when(parsed.isNull(), JSON_ERROR)
-        .when(~is_object | container.isNull() | (F.coalesce(message, F.lit("")) == ""), FIELDS_MISSING)
-        .when(embedded & as_json.isNull(), JSON_ERROR)
-    )
-    line = F.to_json(
-        F.struct(
-            F.when(embedded, as_json).otherwise(message.cast(T.VariantType())).alias("message"),
-            F.coalesce(text_at("$.k8s_metadata.container_name"), F.lit("")).alias("log_tag"),
-            F.coalesce(text_at('$["@timestamp"]'), F.lit("")).alias("log_time"),
-        )
-    )
-    return F.struct(F.when(error.isNull(), line).alias("line"), error.alias("error"))
-
-
 def archive_path(path: str, topic: Column, clock: Column, compressor: str = "") -> Column:
     """Object name of one archive flush."""
     ending = {"": ".log", "gzip": ".log.gz", "zstd": ".log.zst"}

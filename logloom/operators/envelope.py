@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logloom.operators.documents import once
 from logloom.schema import COLLECTION, COLLECTION_FORMAT, CONTEXT, FORMAT_HEADER, ITEM, PARSE_ERROR
 
 _VALUE = T.StructType(
@@ -33,29 +34,34 @@ def decode(messages: DataFrame, value: str = "value", headers: str = "headers")
     with ``error`` set, for ``dead_letter``.
     """
     parsed = F.from_json(F.col(value), _VALUE, {"columnNameOfCorruptRecord": "_unreadable"})
-    single = F.array(F.struct(F.col("_v.timestamp").alias("timestamp"), F.col("_v.content").alias("content")))
-    unreadable = F.col("_v").isNull() | F.col("_v._unreadable").isNotNull()
+    read = F.col("_v").isNotNull() & F.col("_v._unreadable").isNull()
+    single = F.array(F.struct("_v.timestamp", "_v.content"))
+    batch = F.coalesce(F.col("_v.items"), F.array().cast(T.ArrayType(ITEM)))
     return (
-        messages.withColumn("_v", parsed)
-        .withColumn("error", F.when(unreadable, F.lit(PARSE_ERROR)))
-        .withColumn("context", F.when(~unreadable, F.col("_v.context")))
-        .withColumn(
-            "items",
-            F.when(
-                ~unreadable,
-                F.when(is_collection(F.col(headers)), F.coalesce(F.col("_v.items"), F.array().cast(T.ArrayType(ITEM))))
-                .otherwise(single),
-            ),
+        once(messages, _v=parsed)
+        .withColumns(
+            {
+                "error": F.when(~read, F.lit(PARSE_ERROR)),
+                "context": F.when(read, F.col("_v.context")),
+                "items": F.when(read, F.when(is_collection(F.col(headers)), batch).otherwise(single)),
+            }
         )
         .drop("_v")
     )
 
 
-def explode_batch(batches: DataFrame) -> DataFrame:
-    """One row per record; every record inherits the context of its batch."""
-    return batches.select(
-        *[c for c in batches.columns if c != "items"], F.posexplode("items").alias("position", "_item")
-    ).select("*", "_item.timestamp", "_item.content").drop("_item")
+def explode_batch(batches: DataFrame, keep_unreadable: bool = False) -> DataFrame:
+    """One row per record; every record inherits the context of its batch.
+
+    With ``keep_unreadable`` a message that could not be decoded stays as one row without a
+    position, so that good and bad rows go through one plan.
+    """
+    others = [c for c in batches.columns if c != "items"]
+    explode = F.posexplode_outer if keep_unreadable else F.posexplode
+    rows = batches.select(*others, explode("items").alias("position", "_item"))
+    if keep_unreadable:
+        rows = rows.filter("position IS NOT NULL OR error IS NOT NULL")
+    return rows.select("*", "_item.timestamp", "_item.content").drop("_item")
 
 
 def wrap_single(records: DataFrame) -> DataFrame:

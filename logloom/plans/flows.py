@@ -7,17 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.document import (
-    archive_line,
-    index_name,
-    ingest_stamp,
-    rate_key,
-    search_document,
-    topic_name,
-)
+from logloom.functions.document import index_name, ingest_stamp, rate_key, topic_name
 from logloom.functions.redact import RuleSet, redact_by_app
 from logloom.operators.admit import admit, split_rejected
-from logloom.operators.envelope import decode, encode_collection, explode_batch, split_errors
+from logloom.operators.documents import archive_lines, search_documents
+from logloom.operators.envelope import decode, encode_collection, explode_batch
 
 
 def routed(envelopes: DataFrame, prefix: str = "", suffix: str = "_logs") -> DataFrame:
@@ -49,22 +43,28 @@ def to_index(
     content_schema=None,
 ) -> DataFrame:
     """Decode, route, make search documents and redact them; failures carry ``error``."""
-    records, unreadable = split_errors(decode(messages))
-    when = F.current_timestamp() if clock is None else clock
     prefix = F.col("context.es_index_prefix")
-    made = explode_batch(records).withColumn("_made", search_document(F.col("content"), F.col("timestamp")))
-    documents = made.select(
-        "*",
-        index_name(prefix, when, data_stream).alias("index_name"),
-        redact_by_app(prefix, F.col("_made.document"), rules, content_schema).alias("document"),
-        F.col("_made.error").alias("error"),
-    ).drop("_made", "content", "timestamp", "value", "headers")
-    return documents.unionByName(unreadable.drop("value", "headers", "items"), allowMissingColumns=True)
+    when = F.current_timestamp() if clock is None else clock
+    made = _merged(search_documents(_records(messages)))
+    return made.withColumns(
+        {
+            "index_name": F.when(F.col("error").isNull(), index_name(prefix, when, data_stream)),
+            "document": redact_by_app(prefix, F.col("document"), rules, content_schema),
+        }
+    )
 
 
 def to_archive(messages: DataFrame, *, simple: bool = True) -> DataFrame:
     """Decode and make archive lines; failures carry ``error``."""
-    records, unreadable = split_errors(decode(messages))
-    made = explode_batch(records).withColumn("_made", archive_line(F.col("content"), simple))
-    lines = made.select("*", "_made.line", "_made.error").drop("_made", "content", "timestamp", "value", "headers")
-    return lines.unionByName(unreadable.drop("value", "headers", "items"), allowMissingColumns=True)
+    return _merged(archive_lines(_records(messages), simple=simple))
+
+
+def _records(messages: DataFrame) -> DataFrame:
+    """One row per record, and one per unreadable message."""
+    return explode_batch(decode(messages), keep_unreadable=True).withColumnRenamed("error", "_unread")
+
+
+def _merged(made: DataFrame) -> DataFrame:
+    return made.withColumn("error", F.coalesce("_unread", "error")).drop(
+        "_unread", "content", "timestamp", "value", "headers"
+    )

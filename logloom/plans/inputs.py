@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from logloom.functions.document import log_bytes, rate_key, topic_name
 from logloom.schema import COLLECTION_FORMAT, FORMAT_HEADER
-from logloom.session import scratch  # noqa: F401 - queries write below i.scratch
+from logloom.session import scratch, spread  # noqa: F401 - queries write below i.scratch
 
 # One second of arrival time stands for one hour of event time, so that rate-limit windows of
 # seconds hold enough requests to be contested.
@@ -95,7 +95,7 @@ def messages(spark_or_events, sf: str | None = None) -> DataFrame:
 
     Two headers of the same name check that the first one decides.
     """
-    events = spark_or_events if sf is None else table(spark_or_events, sf, "events")
+    events = spark_or_events if sf is None else spread(table(spark_or_events, sf, "events"))
     i = F.col("event_id")
     content = F.when(i % 10 == 8, F.lit(None)).when(i % 10 == 7, F.lit("[7]")).otherwise(F.col("content"))
     following = F.concat(F.lit('{"k": '), (F.get_json_object("content", "$.k").cast("long") + 1).cast("string"), F.lit("}"))

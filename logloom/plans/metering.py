@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logloom.functions.document import app_name, error_class, index_base, index_name, search_document
-from logloom.operators import envelope, meter
+from logloom.functions.document import app_name, error_class, index_base, index_name
+from logloom.operators import meter
 from logloom.operators.admit import admit, split_rejected
+from logloom.operators.envelope import split_errors
+from logloom.plans import flows
 from logloom.plans import inputs as i
 from logloom.plans.limits import ARGS, REFILL, SEGMENTS, segments
 from logloom.plans.records import ERROR_SQL, error_reason
@@ -88,10 +90,9 @@ def m_stored(spark, sf):
       UNION ALL SELECT 'no_index' FROM logs WHERE event_id % 10 = 9) GROUP BY label""",
 )
 def m_convert_error(spark, sf):
-    decoded, unreadable = envelope.split_errors(envelope.decode(i.messages(spark, sf)))
-    made = envelope.explode_batch(decoded).withColumn("_made", search_document(F.col("content"), F.col("timestamp")))
-    failed = made.filter("_made.error IS NOT NULL").select(F.col("context.es_index_prefix").alias("label"))
-    return meter.count_by(failed.unionByName(unreadable.select(F.lit("no_index").alias("label"))), "label")
+    _, failed = split_errors(flows.to_index(i.messages(spark, sf), {}))
+    label = F.coalesce(F.col("context.es_index_prefix"), F.lit("no_index"))
+    return meter.count_by(failed.select(label.alias("label")), "label")
 
 
 @query("m_redact_bytes", "SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source")

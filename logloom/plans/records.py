@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.functions import document as d
-from logloom.operators import envelope, topics
+from logloom.operators import documents, envelope, topics
+from logloom.plans import flows
 from logloom.plans import inputs as i
 from logloom.plans.registry import query
+from logloom.session import spread
 from logloom.sources.rules import rules_table
 
 
@@ -119,14 +121,8 @@ def collect_batch(spark, sf):
     UNION ALL SELECT event_id, NULL, 'Protobuf Parse Error' FROM logs WHERE event_id % 10 = 9""",
 )
 def dead_letter(spark, sf):
-    decoded, unreadable = envelope.split_errors(envelope.decode(i.messages(spark, sf)))
-    made = envelope.explode_batch(decoded).withColumn(
-        "error", d.search_document(F.col("content"), F.col("timestamp")).getField("error")
-    )
-    _, failed = envelope.split_errors(made)
-    return failed.select("event_id", "position", "error").unionByName(
-        unreadable.select("event_id", F.lit(None).cast("int").alias("position"), "error")
-    )
+    made = flows.to_index(i.messages(spark, sf), {})
+    return envelope.split_errors(made)[1].select("event_id", "position", "error")
 
 
 @query("topic_name", "SELECT event_id, 'pre_' || event_type || '_logs' AS topic FROM events")
@@ -189,12 +185,12 @@ def search_document(spark, sf):
         .when(n % 4 == 3, F.concat(F.lit('{"@timestamp": null, "k": '), k, F.lit("}")))
         .otherwise(F.col("content"))
     )
-    made = i.logs(spark, sf).select("event_id", d.search_document(content, F.col("timestamp")).alias("m"))
+    made = documents.search_documents(spread(i.logs(spark, sf)).select("event_id", "timestamp", content.alias("content")))
     return made.select(
         "event_id",
-        F.get_json_object("m.document", "$['@timestamp']").alias("at_timestamp"),
-        F.get_json_object("m.document", "$.k").alias("k"),
-        F.col("m.error").alias("error"),
+        F.get_json_object("document", "$['@timestamp']").alias("at_timestamp"),
+        F.get_json_object("document", "$.k").alias("k"),
+        "error",
     )
 
 
@@ -223,14 +219,16 @@ def _archive_content():
     FROM documents""",
 )
 def archive_line(spark, sf):
-    made = i.table(spark, sf, "documents").select("doc_id", d.archive_line(_archive_content()).alias("m"))
+    made = documents.archive_lines(
+        spread(i.table(spark, sf, "documents")).select("doc_id", _archive_content().alias("content"))
+    )
     return made.select(
         "doc_id",
-        F.col("m.error").alias("error"),
-        F.get_json_object("m.line", "$.log_tag").alias("log_tag"),
-        F.get_json_object("m.line", "$.log_time").alias("log_time"),
-        F.when(F.col("doc_id") % 7 != 1, F.get_json_object("m.line", "$.message")).alias("message"),
-        F.get_json_object("m.line", "$.message.n_chars").cast("long").alias("embedded_chars"),
+        "error",
+        F.get_json_object("line", "$.log_tag").alias("log_tag"),
+        F.get_json_object("line", "$.log_time").alias("log_time"),
+        F.when(F.col("doc_id") % 7 != 1, F.get_json_object("line", "$.message")).alias("message"),
+        F.get_json_object("line", "$.message.n_chars").cast("long").alias("embedded_chars"),
     )
 
 
@@ -239,13 +237,10 @@ def archive_line(spark, sf):
     "SELECT doc_id, text, lang, CAST(NULL AS VARCHAR) AS error FROM documents",
 )
 def archive_full_line(spark, sf):
-    made = i.table(spark, sf, "documents").select(
-        "doc_id", d.archive_line(F.to_json(F.struct("text", "lang")), simple=False).alias("m")
+    contents = spread(i.table(spark, sf, "documents")).select("doc_id", F.to_json(F.struct("text", "lang")).alias("content"))
+    return documents.archive_lines(contents, simple=False).select(
+        "doc_id", F.get_json_object("line", "$.text").alias("text"), F.get_json_object("line", "$.lang").alias("lang"), "error"
     )
-    return made.select(
-        "doc_id", F.get_json_object("m.line", "$.text").alias("text"), F.get_json_object("m.line", "$.lang").alias("lang"),
-        F.col("m.error").alias("error"),
-    )
 
 
 @query("app_name", f"WITH {i.LOGS} SELECT event_id, 'app_' || event_type AS app_name FROM logs")

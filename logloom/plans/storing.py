@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logloom.functions.document import archive_line
+from logloom.functions.redact import PathRule, RuleSet, StaticRule, redact_by_app
 from logloom.operators import envelope
 from logloom.plans import flows
 from logloom.plans import inputs as i
 from logloom.plans.limits import SECONDS
 from logloom.plans.redaction import BY_APP_SQL, RULES, texts
 from logloom.plans.registry import query
-from logloom.functions.redact import PathRule, RuleSet, StaticRule, redact_by_app
 from logloom.sinks import tables
 from logloom.streaming import flows as streaming
 
@@ -55,8 +54,7 @@ def _index_rows(documents):
 @query("index_flow", f"WITH {i.MESSAGES} {_INDEXED}")
 def index_flow(spark, sf):
     made = flows.to_index(i.messages(spark, sf), INDEX_RULES, F.col("ts")).filter("error IS NULL")
-    rows = made.select("event_id", "position", "index_name", "document")
-    return rows.select("event_id", "position", *[F.col(c) for c in rows.columns[2:]]).select(
+    return made.select(
         "event_id", "position", "index_name",
         F.regexp_extract("document", '"@timestamp":"([^"]*)"', 1).alias("at_timestamp"),
         F.regexp_extract("document", r'"k":(\[NUM REDACTED\]|\d+)', 1).alias("k"),

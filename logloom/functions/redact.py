@@ -148,7 +148,20 @@ def redact_json(text: Column, rules) -> Column:
     return jsontext.rewriter(leaf)(text)
 
 
-def redact_text(text: Column, rules: RuleSet, schema: T.DataType | None = None) -> Column:
+def redact_typed_json(text: Column, schema: T.StructType, rules) -> Column:
+    """Path rules on JSON text of a known shape; NULL where the text is not a JSON object."""
+    with_check = T.StructType([*schema.fields, T.StructField("_unreadable", T.StringType())])
+    parsed = F.from_json(text, with_check, {"columnNameOfCorruptRecord": "_unreadable"})
+
+    def rewritten(value: Column) -> Column:
+        kept = F.struct(*[value.getField(f.name).alias(f.name) for f in schema.fields])
+        return F.when(value.getField("_unreadable").isNull(), F.to_json(redact_struct(kept, schema, rules)))
+
+    # A lambda binds the parsed value, so it is parsed once however many fields are read.
+    return F.transform(F.array(parsed), rewritten)[0]
+
+
+def redact_text(text: Column, rules: RuleSet, schema: T.StructType | None = None) -> Column:
     """A whole rule set over log text: path rules if the text is JSON, then static rules in order.
 
     With ``schema`` the path rules stay in built-in expressions; without it JSON of unknown
@@ -158,14 +171,13 @@ def redact_text(text: Column, rules: RuleSet, schema: T.DataType | None = None)
         if schema is None:
             redacted = redact_json(text, rules.paths)
         else:
-            typed = redact_struct(F.from_json(text, schema), schema, rules.paths)
-            redacted = F.when(F.try_parse_json(text).isNotNull(), F.to_json(typed))
+            redacted = redact_typed_json(text, schema, rules.paths)
         text = F.coalesce(redacted, text)
     return redact_statics(text, rules.static)
 
 
 def redact_by_app(
-    app: Column, text: Column, rules: Mapping[str, RuleSet], schema: T.DataType | None = None
+    app: Column, text: Column, rules: Mapping[str, RuleSet], schema: T.StructType | None = None
 ) -> Column:
     """Pick the rule set by application: its own rules replace, never extend, the default ones.
 

@@ -171,11 +171,8 @@ def _by_refill(keyed: DataFrame, steady: bool, carry: bool) -> DataFrame:
     with a change are replayed request by request.
     """
     narrow = keyed.select(*_GROUP, "_slice", "_cost", "_quota", "_ts", "_seq")
-    sums = narrow.groupBy(*_GROUP, "_cost", "_slice").agg(
-        F.sum("_cost").alias("_amount"), F.min("_quota").alias("_low"), F.max("_quota").alias("_high")
-    )
-    groups = sums.groupBy(*_GROUP).agg(
-        F.sum("_amount").alias("_total"), F.min("_low").alias("_low"), F.max("_high").alias("_high")
+    groups = narrow.groupBy(*_GROUP).agg(
+        F.sum("_cost").alias("_total"), F.min("_quota").alias("_low"), F.max("_quota").alias("_high")
     )
     if steady:
         groups = groups.withColumns({"_tokens": F.col("_high"), "_moving": F.lit(False), "_filled": F.lit(None).cast("long")})
@@ -191,8 +188,10 @@ def _by_refill(keyed: DataFrame, steady: bool, carry: bool) -> DataFrame:
                 "_moving": (F.col("_low") != F.col("_high")) | F.coalesce(unknown, F.lit(False)),
             }
         )
-    limits = _limits(narrow, sums, groups.filter("NOT _moving AND _total > _tokens"))
-    decided = keyed.join(stored(limits, "limits"), _on(_GROUP, "_l"), "left").withColumn(
+    exceptional = stored(groups.filter("_moving OR _total > _tokens"), "groups")
+    contested, moving = exceptional.filter("NOT _moving"), exceptional.filter("_moving")
+    limits = stored(_limits(narrow, contested), "limits")
+    decided = keyed.join(limits, _on(_GROUP, "_l"), "left").withColumn(
         "admitted",
         (F.col("_cost") == 0)
         | F.col("_ltokens").isNull()
@@ -203,27 +202,28 @@ def _by_refill(keyed: DataFrame, steady: bool, carry: bool) -> DataFrame:
             )
         ),
     )
-    if steady:
+    if steady or moving.isEmpty():
         return decided
-    replayed = _replay(narrow, groups.filter("_moving"), carry)
+    replayed = stored(_replay(narrow, moving, carry), "replayed")
     row = [*_GROUP, "_ts", "_seq"]
-    return decided.join(stored(replayed, "replayed"), _on(row, "_r"), "left").withColumn(
+    return decided.join(replayed, _on(row, "_r"), "left").withColumn(
         "admitted", F.coalesce("_radmitted", "admitted")
     )
 
 
-def _limits(narrow: DataFrame, sums: DataFrame, contested: DataFrame) -> DataFrame:
+def _limits(narrow: DataFrame, contested: DataFrame) -> DataFrame:
     """Per contested group its tokens and, by cost, the first (ts, seq) that is refused."""
     same_cost = [*_GROUP, "_cost"]
+    rows = narrow.filter("_cost > 0").join(_prefixed(contested, "_g", _GROUP, "_tokens"), _on(_GROUP, "_g"))
+    rows = rows.filter("_cost <= _tokens")
+    sums = rows.groupBy(*same_cost, "_slice").agg(F.sum("_cost").alias("_amount"), F.first("_tokens").alias("_tokens"))
     fitting = _prefixed(
-        totals_before(sums.filter("_cost > 0"), same_cost, "_slice", "_amount")
-        .join(_prefixed(contested, "_g", _GROUP, "_tokens"), _on(_GROUP, "_g"))
-        .filter("_cost <= _tokens AND _before <= _tokens"),
-        "_f", [*same_cost, "_slice"], "_before", "_tokens",
+        totals_before(sums, same_cost, "_slice", "_amount").filter("_before <= _tokens"),
+        "_f", [*same_cost, "_slice"], "_before",
     )
     earlier = W.partitionBy(*same_cost, "_slice").orderBy("_ts", "_seq").rowsBetween(W.unboundedPreceding, -1)
     candidates = (
-        narrow.join(fitting, _on([*same_cost, "_slice"], "_f"))
+        rows.join(fitting, _on([*same_cost, "_slice"], "_f"))
         .withColumn("_own", F.col("_before") + F.coalesce(F.sum("_cost").over(earlier), F.lit(0)))
         .filter("_own <= _tokens")
         .groupBy(*_GROUP)

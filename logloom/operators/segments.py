@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators.chain import cell, chain
 from logloom.operators.running import running_total
+from logloom.session import stored
 
 DEFAULT_MAX_BYTES = 52_428_800
 DEFAULT_MAX_SECONDS = 3600
@@ -81,6 +82,6 @@ def _assign(counted: DataFrame, flushes: DataFrame, max_bytes: int) -> DataFrame
     # A window without any flush has no span: its lines stay in segment 0.
     return (
         counted.withColumn("_cell", cell("_bytes", max_bytes))
-        .join(spans, inside, "left")
+        .join(stored(spans, "flushes"), inside, "left")
         .withColumn("segment", F.coalesce("segment", F.lit(0).cast("long")))
     )

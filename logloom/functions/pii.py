@@ -26,11 +26,14 @@ PATTERNS = {
 }
 
 # The same matches with possessive loops: a loop whose next token cannot start inside it never
-# needs to give anything back, and Java would otherwise recurse once per word of the text.
+# needs to give anything back, and Java would otherwise recurse once per word of the text. An
+# address part is tried only where it begins or the last match ended, not once per character.
 _POSSESSIVE = {
-    "email": r"(?i)[a-z0-9._%+-]++@[a-z0-9.-]+\.[a-z]{2,}",
+    "email": r"(?i)(?:(?<![a-z0-9._%+-])|\G)[a-z0-9._%+-]++@[a-z0-9.-]+\.[a-z]{2,}",
     "name": r"(?i)\b[A-Z][a-z]++(?:\s++[A-Z][a-z]++\b)++",
 }
+# Python has no \G; a match ends between a letter and something that is none.
+_PYTHON = {**_POSSESSIVE, "email": _POSSESSIVE["email"].replace(r"\G", "(?<=[a-z])(?![a-z])")}
 
 # Every match starts with one of these, so the scan can skip all other positions.
 _FIRST = {
@@ -93,7 +96,7 @@ def redact_pii_json(text: Column, number_format: str = "plain") -> Column:
     can hold; text that is not a JSON object gives NULL, for the dead-letter branch.
     ``number_format="short"`` writes numbers with an exponent from 1e6 upward before redacting.
     """
-    chain = [python_regex(_POSSESSIVE.get(kind, pattern)) for kind, pattern in PATTERNS.items()]
+    chain = [python_regex(_PYTHON.get(kind, pattern)) for kind, pattern in PATTERNS.items()]
     show = jsontext.plain_number if number_format == "plain" else jsontext.short_number
 
     def leaf(path, value):

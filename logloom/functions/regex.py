@@ -7,6 +7,7 @@ refuses the two things that cannot be restated safely.
 from __future__ import annotations
 
 import re
+import warnings
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,9 +98,19 @@ def to_java_regex(pattern: str) -> str:
             out.append(token + "+")
         else:
             out.append(token)
+    if _may_be_empty(pattern):
+        out.append(r"(?:\A|(?!\G))")  # an empty match right after a match does not count
     return "".join(out)
 
 
+def _may_be_empty(pattern: str) -> bool:
+    try:
+        compiled = python_regex(pattern)
+    except re.error:
+        return True
+    return any(not found.group() for text in ("", "a", "-", "a -") for found in compiled.finditer(text))
+
+
 def _escape(token: str) -> str:
     name = re.fullmatch(r"\\([pP])\{(\^?)(\w+)\}", token)
     if name and len(name.group(3)) > 2:
@@ -127,7 +138,9 @@ def python_regex(pattern: str) -> re.Pattern:
             return r"[\t\n\f\r ]"
         return token if token[0] == "\\" else token.replace(r"\s", r"\t\n\f\r ")
 
-    return re.compile(re.sub(r"\[(?:\\.|[^]\\])+\]|\\.", restate, pattern), re.ASCII)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", FutureWarning)  # "[[" is plain text here
+        return re.compile(re.sub(r"\[(?:\\.|[^]\\])+\]|\\.", restate, pattern), re.ASCII)
 
 
 def literal(replacement: str) -> str:

@@ -254,19 +254,31 @@ def _limits(narrow: DataFrame, contested: DataFrame) -> DataFrame:
 
 
 def _replay(narrow: DataFrame, moving: DataFrame, carry: bool) -> DataFrame:
-    """Request-by-request replay of groups whose quota changes on the way.
+    """Request-by-request replay of the windows in which a key's quota changes.
 
-    Rows stream through in order with constant state; nothing is collected. A raised quota adds
-    the difference at once, a lowered one counts from the next refill.
+    A raised quota adds the difference at once, a lowered one counts from the next refill. Windows
+    depend on each other only through the last quota before them, which is looked up first, so the
+    windows of one key run in parallel. The rows of a window stream through in order with constant
+    state; nothing is collected.
     """
-    rows = (
-        narrow.join(_prefixed(moving, "_m", _GROUP, "_filled"), _on(_GROUP, "_m"))
-        .select(*_GROUP, "_ts", "_seq", "_cost", "_quota", "_filled")
-        .repartition("_key")
-        .sortWithinPartitions("_key", "_win", "_ts", "_seq")
+    rows = narrow.join(_prefixed(moving, "_m", _GROUP, "_filled"), _on(_GROUP, "_m")).drop("_m_key", "_m_win")
+    last = rows.groupBy(*_GROUP).agg(
+        F.max_by("_quota", F.struct("_ts", "_seq")).alias("_last"), F.first("_filled").alias("_known")
+    )
+    if carry:
+        # Without a known fill the window before this one moved too, or there is none.
+        before = F.lag("_last").over(W.partitionBy("_key").orderBy("_win"))
+        fills = last.withColumn("_fill", F.coalesce("_known", before))
+    else:
+        fills = last.withColumn("_fill", F.lit(None).cast("long"))
+    ordered = (
+        rows.join(stored(_prefixed(fills, "_p", _GROUP, "_fill"), "fills"), _on(_GROUP, "_p"))
+        .select(*_GROUP, "_ts", "_seq", "_cost", "_quota", "_fill")
+        .repartition(*_GROUP)
+        .sortWithinPartitions(*_GROUP, "_ts", "_seq")
     )
     out = T.StructType(
-        [T.StructField("_r" + f.name, f.dataType) for f in rows.schema.fields if f.name in (*_GROUP, "_ts", "_seq")]
+        [T.StructField("_r" + f.name, f.dataType) for f in ordered.schema.fields if f.name in (*_GROUP, "_ts", "_seq")]
         + [T.StructField("_radmitted", T.BooleanType())]
     )
 
@@ -274,12 +286,11 @@ def _replay(narrow: DataFrame, moving: DataFrame, carry: bool) -> DataFrame:
         group, quota, left = None, None, 0
         for batch in batches:
             admitted = []
-            for key, win, cost, wanted, filled in zip(
-                batch["_key"], batch["_win"], batch["_cost"], batch["_quota"], batch["_filled"], strict=True
+            for key, win, cost, wanted, fill in zip(
+                batch["_key"], batch["_win"], batch["_cost"], batch["_quota"], batch["_fill"], strict=True
             ):
                 if (key, win) != group:
-                    carried = quota if carry and group is not None and group[0] == key else wanted
-                    quota = carried if pd.isna(filled) else int(filled)
+                    quota = wanted if pd.isna(fill) else int(fill)
                     group, left = (key, win), quota
                 if wanted > quota:
                     left += wanted - quota
@@ -291,4 +302,4 @@ def _replay(narrow: DataFrame, moving: DataFrame, carry: bool) -> DataFrame:
             frame["_radmitted"] = admitted
             yield frame
 
-    return rows.mapInPandas(run, out)
+    return ordered.mapInPandas(run, out)

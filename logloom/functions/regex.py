@@ -32,6 +32,12 @@ _POSIX_NAMES = {
 }
 
 
+# For word edges next to a token that is surely a word character.
+_WORD = re.compile(r"\\[dw]|\w", re.ASCII)
+_QUANTIFIER = re.compile(r"[*+?]|\{\d+(?:,\d*)?\}")
+_OPTIONAL = re.compile(r"[*?]|\{0+[,}]")
+
+
 class UnsafePattern(ValueError):
     """A rule pattern that has no equivalent which is safe to run on an executor."""
 
@@ -78,6 +84,10 @@ def to_java_regex(pattern: str) -> str:
         if token[0] == "[":
             in_class, class_start = True, i
             out.append(token if not token.endswith("]") else token[:-1] + r"\]")
+        elif token == r"\b" and _starts_with_word(tokens, i + 1):
+            out.append(r"(?<!\w)")
+        elif token == r"\b" and _ends_with_word(tokens, i - 1):
+            out.append(r"(?!\w)")
         elif token[0] == "\\":
             out.append(_OUTSIDE.get(token[1:], _escape(token)))
         elif token[0] == "(":
@@ -103,6 +113,35 @@ def to_java_regex(pattern: str) -> str:
     return "".join(out)
 
 
+def _starts_with_word(tokens: list[str], i: int) -> bool:
+    """Whether the text matched from token ``i`` on surely begins with a word character."""
+    if i < len(tokens) and tokens[i] == "[" and "]" in tokens[i:]:
+        end = tokens.index("]", i)
+        word = _word_class(tokens[i + 1 : end])
+    else:
+        end = i
+        word = i < len(tokens) and _WORD.fullmatch(tokens[i]) is not None
+    return word and not _OPTIONAL.match("".join(tokens[end + 1 : end + 2]))
+
+
+def _ends_with_word(tokens: list[str], i: int) -> bool:
+    """Whether the text matched up to token ``i`` surely ends with a word character."""
+    if i >= 0 and tokens[i] == "?" and i > 0 and _QUANTIFIER.fullmatch(tokens[i - 1]):
+        i -= 1
+    if i >= 0 and _QUANTIFIER.fullmatch(tokens[i]):
+        if _OPTIONAL.match(tokens[i]):
+            return False
+        i -= 1
+    if i >= 0 and tokens[i] == "]" and "[" in tokens[:i]:
+        start = i - 1 - tokens[:i][::-1].index("[")
+        return _word_class(tokens[start + 1 : i])
+    return i >= 0 and _WORD.fullmatch(tokens[i]) is not None
+
+
+def _word_class(inside: list[str]) -> bool:
+    return re.fullmatch(r"(?:\\[dw]|a-z|A-Z|0-9|\w)+", "".join(inside), re.ASCII) is not None
+
+
 def _may_be_empty(pattern: str) -> bool:
     try:
         compiled = python_regex(pattern)

@@ -13,6 +13,7 @@ TEXTS = [
 PATTERNS = [
     r"\bab?\b", r"(?i)\b[a-z]{2}\b", r"\s+", r"\S+$", r"^\w+", r"(?m)^\w+", r"(?m)\w+$", r"[\s,]+", r"[^\w\s]", r"[[:upper:]]+", r"[[:^alpha:]]",
     r"[]^&[]", r"[a&&b]", r"\Bb", r".+", r"(?s).+", r"(?:ab|cd)+", r"x*", r"(?P<first>\w)\w+", r"[.\[\]]", r"\d{2,}", r"\pL+", r"(?i)abc(\s+\w+)*",
+    r"\b\d{2,}\b", r"\b[a-z]+\b", r"\b[a-z]?\b", r"\ba*\b", r"\w+?\b", r"\b[a-z.]+\b", r"\b(?:a|é)\w", r"a\b|\bd", r"[^a]\b", r"\b.\b",
 ]
 
 

@@ -85,7 +85,7 @@ def admit(
     keyed = _tick_windows(keyed, window_seconds) if anchor == "tick" else _first_hit_windows(keyed, window_seconds)
     keyed = keyed.withColumn("_slice", F.expr(f"(_ts - _win) div {max(window_seconds * 1_000_000 // _SLICES, 1)}L"))
     if policy == "counter" or (cost is None and fixed):
-        decided = _by_running_total(keyed)
+        decided = _by_running_total(keyed, steady=fixed)
     else:
         decided = _by_refill(keyed, steady=fixed, carry=anchor == "tick")
     columns = [c for c in decided.columns if not c.startswith("_") or c in requests.columns]
@@ -144,22 +144,48 @@ def _prefixed(df: DataFrame, prefix: str, columns: list[str], *others: str) -> D
     return df.select(*[F.col(c).alias(prefix + c) for c in columns], *others)
 
 
-def _by_running_total(keyed: DataFrame) -> DataFrame:
-    """Admit while the running total, this request included, stays within the quota."""
-    sums = keyed.groupBy(*_GROUP, "_slice").agg(
+def _by_running_total(keyed: DataFrame, steady: bool) -> DataFrame:
+    """Admit while the running total, this request included, stays within the quota.
+
+    Slices wholly within or beyond the quota are settled by their sums. In the slices between, one
+    place (ts, seq) divides admitted from refused rows; only where a quota moves inside such a
+    slice do the two mix, and those rows get a verdict each.
+    """
+    at = [*_GROUP, "_slice"]
+    narrow = keyed.select(*at, "_cost", "_quota", "_ts", "_seq")
+    sums = narrow.groupBy(*at).agg(
         F.sum("_cost").alias("_amount"), F.min("_quota").alias("_low"), F.max("_quota").alias("_high")
     )
-    at = [*_GROUP, "_slice"]
-    contested = _prefixed(
-        totals_before(sums, _GROUP, "_slice", "_amount").filter("_before + _amount > _low"),
-        "_c", at, "_before", "_high",
-    )
-    marked = keyed.join(stored(contested, "contested"), _on(at, "_c"), "left")
-    settled = marked.filter("_before IS NULL OR _before > _high")
-    crossing = marked.filter("_before <= _high")
+    before = totals_before(sums, _GROUP, "_slice", "_amount")
+    contested = stored(before.filter("_before + _amount > _low").select(*at, "_before", "_high"), "contested")
     inside = W.partitionBy(*at).orderBy("_ts", "_seq").rowsBetween(W.unboundedPreceding, 0)
-    return settled.withColumn("admitted", F.col("_before").isNull()).unionByName(
-        crossing.withColumn("admitted", F.col("_before") + F.sum("_cost").over(inside) <= F.col("_quota"))
+    crossing = _prefixed(contested.filter("_before <= _high"), "_c", at, "_before")
+    verdicts = narrow.join(crossing, _on(at, "_c")).withColumn(
+        "_fits", F.col("_before") + F.sum("_cost").over(inside) <= F.col("_quota")
+    )
+    place = F.struct("_ts", "_seq")
+    cuts = verdicts.groupBy(*at).agg(
+        F.min(F.when(~F.col("_fits"), place)).alias("_cut"), F.max(F.when(F.col("_fits"), place)).alias("_last")
+    )
+    slices = stored(
+        contested.select(*[F.col(c).alias("_s" + c) for c in at], (F.col("_before") > F.col("_high")).alias("_over"))
+        .join(cuts, _on(at, "_s"), "left")
+        .select(*["_s" + c for c in at], "_over", "_cut", (F.col("_last") > F.col("_cut")).alias("_mixed")),
+        "slices",
+    )
+    decided = keyed.join(slices, _on(at, "_s"), "left").withColumn(
+        "admitted",
+        F.when(F.col("_over").isNull(), True)
+        .when(F.col("_over"), False)
+        .otherwise(F.col("_cut").isNull() | (place < F.col("_cut"))),
+    )
+    mixed = slices.filter("_mixed").select(*["_s" + c for c in at])
+    if steady or mixed.isEmpty():
+        return decided
+    row = [*_GROUP, "_ts", "_seq"]
+    exact = _prefixed(verdicts.join(mixed, _on(at, "_s"), "left_semi"), "_r", row, "_fits")
+    return decided.join(stored(exact, "verdicts"), _on(row, "_r"), "left").withColumn(
+        "admitted", F.coalesce("_fits", "admitted")
     )
 
 

@@ -78,6 +78,12 @@ def last_value(df: DataFrame, value: str, *labels: str, ts: str = "ts") -> DataF
     return df.groupBy(*labels).agg(F.max_by(value, ts).alias(value))
 
 
+def archive_uploads(segmented: DataFrame, *labels: str, size: str = "bytes") -> DataFrame:
+    """Flushes and their uncompressed bytes per label, from lines with ``flush_window`` and ``segment``."""
+    flushed = segmented.groupBy(*labels, "flush_window", "segment").agg(F.sum(size).alias("_bytes"))
+    return flushed.groupBy(*labels).agg(F.count("*").alias("uploads"), F.sum("_bytes").alias("bytes"))
+
+
 def rule_counts(rules: DataFrame) -> DataFrame:
     """Number of rules per application and rule type."""
     size = lambda c: F.coalesce(F.size(F.col(c)), F.lit(0))

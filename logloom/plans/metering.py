@@ -187,8 +187,7 @@ def m_tps(spark, sf):
     SELECT topic, count(*) AS uploads, CAST(sum(bytes) AS BIGINT) AS bytes FROM s GROUP BY topic""",
 )
 def m_archive(spark, sf):
-    flushed = segments(spark, sf).groupBy("topic", "flush_window", "segment").agg(F.sum("bytes").alias("bytes"))
-    return flushed.groupBy("topic").agg(F.count("*").alias("uploads"), F.sum("bytes").alias("bytes"))
+    return meter.archive_uploads(segments(spark, sf), "topic")
 
 
 @query(

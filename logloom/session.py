@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,18 +13,41 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # long texts: a batch for Python is small however many rows a partition has
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for checkpoints, or None where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables.
+
+    The one that ``spark.checkpoint.dir`` or ``setCheckpointDir`` names. Only where neither is set and
+    everything runs in this one machine is it a folder in the warehouse; a cluster has to name one.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not named and context._jsc.sc().getCheckpointDir().isDefined():
+        named = context._jsc.sc().getCheckpointDir().get()
+    if not named:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+    return named.rstrip("/")
+
+
+def _run_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/logloom/{spark.sparkContext.applicationId}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate or output tables, in the cluster's shared folder."""
-    shared = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="logloom-")
-    return f"{shared.rstrip('/')}/logloom/{name}-{uuid.uuid4().hex}"
+    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results read from them are gone after that."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Sharding by k-d tree partitioning: near-equal bytes, equal texts together.
 
-The unit is a group of rows with equal texts (by 64-bit hash and size). A group larger than a quarter
-of a shard is dealt into pieces by key, so a hot text cannot outgrow a shard. Each group has metadata
-dimensions scaled to 0..1; a node of the tree is split at the weighted median of the dimension along
-which its groups spread widest, until leaves have the target bytes. Medians come from histograms of
+The unit is a group of rows with equal texts (by 64-bit hash and size). The few groups that weigh more
+than 1/64 of a shard are placed first, and only one heavier than a whole shard is dealt into pieces.
+The others have metadata dimensions scaled to 0..1; a node of the tree is split at the weighted median
+of the dimension along which its groups spread widest (weighted by the room its shards have left), until
+leaves have the target bytes. Medians come from histograms of
 bytes, summed in Spark and refined bin by bin; ties inside a dimension are ordered by the text's hash,
 so a cut falls between two groups and never depends on how many share a value.
 """
@@ -23,6 +24,8 @@ VALUE_BITS, TIE_BITS = 30, 32
 STEP_BITS = 10
 #: A cut is fine enough when what its bin holds is at most this share of a shard.
 TOLERANCE = 0.0005
+#: A text whose copies weigh more than this part of a shard is placed before the others.
+HEAVY = 64
 DIMENSIONS = ("size", "lang", "source", "key")
 
 
@@ -73,18 +76,36 @@ def _cuts(groups: DataFrame, nodes: list[dict], target: float) -> list[int]:
     return low
 
 
-def _groups(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with their group, groups with bytes, dimensions and order keys)."""
+def _place_heavy(sizes: DataFrame, shards: int, target: float) -> list[tuple[int, int, int, int, int]]:
+    """(hash, size, piece, pieces, shard) of the texts whose copies weigh much of a shard.
+
+    Bytes add up to ``shards * target``, so there are at most ``shards * HEAVY`` of them. The heaviest goes
+    first, each to the shard that is emptiest by then. Only a text heavier than a shard is dealt into pieces.
+    """
+    heavy = sizes.filter(F.col("bytes") > target / HEAVY).collect()
+    pieces = []
+    for r in heavy:
+        n = 1 if r["bytes"] <= target else -(-int(4 * r["bytes"]) // max(1, int(target)))
+        pieces += [(r["bytes"] / n, r["hash"], r["size"], k, n) for k in range(n)]
+    load, placed = [0.0] * shards, []
+    for size, *names in sorted(pieces, reverse=True):
+        leaf = load.index(min(load))
+        load[leaf] += size
+        placed.append((*names, leaf))
+    return placed
+
+
+def _groups(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """(rows with their group, heavy groups with their shards, the other groups with bytes, dimensions and order keys, bytes of a shard)."""
     spark = rows.sparkSession
     sizes = stored(rows.groupBy("hash", "size").agg(F.sum("size").alias("bytes")), "texts")
-    total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    most = max(1, total // shards // 4)
-    # bytes add up to `total`, so at most 4 * shards + shards texts are this large
-    hot = stored(sizes.filter(F.col("bytes") > most).select("hash", "size", F.ceil(F.col("bytes") / most).alias("pieces")), "hot")
+    target = (sizes.agg(F.sum("bytes")).first()[0] or 0) / shards
+    heavy = spark.createDataFrame(_place_heavy(sizes, shards, target), "hash long, size long, piece long, pieces long, shard int")
+    hot = heavy.select("hash", "size", "pieces").distinct()
     dealt = rows.join(F.broadcast(hot), ["hash", "size"], "left")
-    piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64(F.lit(1), "key"), F.col("pieces"))).otherwise(F.lit(0)).cast("long")
-    dealt = dealt.withColumn("piece", piece).drop("pieces")
-    grouped = dealt.groupBy("hash", "size", "piece").agg(F.sum("size").alias("bytes"), F.min("lang").alias("lang"), F.min("source").alias("source"), F.min("key").alias("key"))
+    piece = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64(F.lit(1), "key"), F.col("pieces"))).otherwise(F.lit(0)).cast("long")
+    dealt = dealt.withColumn("piece", piece)
+    grouped = dealt.filter("pieces IS NULL").groupBy("hash", "size", "piece").agg(F.sum("size").alias("bytes"), F.min("lang").alias("lang"), F.min("source").alias("source"), F.min("key").alias("key"))
     grouped = stored(grouped, "groups")
     ends = grouped.agg(F.min(F.log1p("size")).alias("a"), F.max(F.log1p("size")).alias("b"), F.min("key").alias("c"), F.max("key").alias("d")).first()
     scale = lambda c, a, b: F.coalesce((c - F.lit(float(a or 0))) / F.lit(max(1e-9, float(b or 0) - float(a or 0))), F.lit(0.0))
@@ -96,24 +117,25 @@ def _groups(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     }
     tie = F.xxhash64("hash", "size", "piece")
     columns = [c for d in DIMENSIONS for c in (values[d].alias(d + "_value"), _order_key(values[d], tie).alias(d + "_order"))]
-    return dealt, stored(grouped.select("hash", "size", "piece", "bytes", F.lit(0).alias("node"), *columns), "tree")
+    tree_rows = stored(grouped.select("hash", "size", "piece", "bytes", F.lit(0).alias("node"), *columns), "tree")
+    return dealt.drop("pieces"), heavy.drop("pieces"), tree_rows, target
 
 
-def tree(groups: DataFrame, shards: int = SHARDS) -> Column:
-    """The leaf of every group as an expression over its order keys; leaves number from 0 in tree order."""
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    target = total / shards
+def tree(groups: DataFrame, room: list[float], target: float) -> Column:
+    """The leaf of every group as an expression over its order keys, so that leaf i gets bytes in proportion to ``room[i]``."""
     leaf = F.lit(0)
-    level = {0: (0, shards)}  # node -> first leaf, leaves
+    level = {0: (0, len(room))}  # node -> first leaf, leaves
     current = groups
     while any(n > 1 for _, n in level.values()):
         extents = [F.struct(*(F.max(d + "_value") - F.min(d + "_value") for d in DIMENSIONS)).alias("e"), F.sum("bytes").alias("bytes")]
-        seen = {r["node"]: r for r in current.groupBy("node").agg(*extents).collect()}  # at most `shards` rows
+        seen = {r["node"]: r for r in current.groupBy("node").agg(*extents).collect()}  # at most one row a shard
         nodes = []
         for node, (first, n) in level.items():
             if n > 1:
                 spread = list(seen[node]["e"]) if node in seen else [0.0] * len(DIMENSIONS)
-                nodes.append({"node": node, "first": first, "n": n, "order": DIMENSIONS[spread.index(max(spread))] + "_order", "want": (seen[node]["bytes"] if node in seen else 0) * (n // 2) / n})
+                left, both = sum(room[first : first + n // 2]), sum(room[first : first + n])
+                want = (seen[node]["bytes"] if node in seen else 0) * (left / both if both else 0.5)
+                nodes.append({"node": node, "first": first, "n": n, "order": DIMENSIONS[spread.index(max(spread))] + "_order", "want": want})
         cuts = _cuts(current, nodes, target)
         following = {node: v for node, v in level.items() if v[1] == 1}
         moved = leaf
@@ -122,7 +144,8 @@ def tree(groups: DataFrame, shards: int = SHARDS) -> Column:
             following |= {node["first"]: (node["first"], half), node["first"] + half: (node["first"] + half, node["n"] - half)}
             moved = F.when((leaf == node["node"]) & (F.col(node["order"]) >= cut), F.lit(node["first"] + half)).otherwise(moved)
         leaf, level = moved, following
-        current = stored(groups.withColumn("node", leaf), "tree")
+        if any(n > 1 for _, n in level.values()):
+            current = stored(groups.withColumn("node", leaf), "tree")
     return leaf
 
 
@@ -156,8 +179,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
         F.xxhash64(t).alias("hash"),
     )
     rows = stored(rows, "sizes")
-    dealt, groups = _groups(rows, shards)
-    leaves = groups.select("hash", "size", "piece", tree(groups, shards).cast("int").alias("shard"))
+    dealt, heavy, groups, target = _groups(rows, shards)
+    load = {r["shard"]: r["bytes"] for r in dealt.join(F.broadcast(heavy), ["hash", "size", "piece"]).groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}
+    room = [max(0.0, target - load.get(i, 0)) for i in range(shards)]
+    leaves = groups.select("hash", "size", "piece", tree(groups, room, target).cast("int").alias("shard")).unionByName(heavy)
     placed = slots(dealt.join(stored(leaves, "leaves"), ["hash", "size", "piece"]).select("key", "size", "crc", "hash", "shard"))
     return placed.select(
         F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")

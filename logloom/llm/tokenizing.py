@@ -72,7 +72,9 @@ class PreTokenModel:
 
     def ids(self, pre_token: str) -> list[int]:
         """Merge one pre-token."""
-        shown = pre_token.encode().decode("latin-1").translate(self.bytes)
+        shown = pre_token
+        if not (pre_token.isascii() and pre_token.isalnum()):  # those stand for themselves
+            shown = pre_token.encode().decode("latin-1").translate(self.bytes)
         return [t.id for t in self.model.tokenize(shown)]
 
     def left_to_library(self, text: str) -> list[int]:
@@ -117,7 +119,8 @@ class SpacedEncoder:
         """A piece without spaces and line ends."""
         if not PLAIN.fullmatch(word):
             return self._bytes(self.model.left_to_library(word))
-        return b"".join([self.merged[p] for p in self.model.cut(word.lower())])
+        word = word.lower()
+        return self.merged[word] if word.isalpha() else b"".join([self.merged[p] for p in self.model.cut(word)])
 
     def encode(self, text: str) -> bytes:
         if self.model.has_special(text):

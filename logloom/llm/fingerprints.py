@@ -101,20 +101,20 @@ def edited_fingerprints(docs: DataFrame, k: int = K, shingle: int = SHINGLE_WORD
     share the next document; where several rows have the next key, the smallest start counts. An empty
     table gives no rows; other columns are ignored.
     """
-    own = docs.select(F.col(key).alias("k"), whole(F.col(text)).alias("t"))
+    # as a struct a null key equals itself, so one partitioning by key serves both joins and the grouping
+    own = docs.select(F.struct(F.col(key).alias("k")).alias("k"), whole(F.col(text)).alias("t"))
     lengths = stored(own.select("k", F.char_length("t").alias("n")), "lengths")
-    asks = lengths.groupBy(F.col("k").alias("ak")).agg((F.max("n") / 2).cast("int").alias("need"))
-    follows = next_keys(lengths, "k")
-    asked = asks.join(follows, asks["ak"].eqNullSafe(follows["k"])).select("ak", "need", "next_key")
-    answers = own.join(asked, own["k"].eqNullSafe(asked["next_key"]))
+    asks = lengths.groupBy("k").agg((F.max("n") / 2).cast("int").alias("need"))
+    asked = asks.join(next_keys(lengths, "k"), "k").select(F.col("k").alias("ak"), "need", "next_key")
+    answers = own.join(asked, own["k"] == asked["next_key"])
     answers = answers.select("ak", F.struct(F.expr("left(t, need)").alias("start"), sketch(F.col("t"), k, shingle).alias("sketch")).alias("a"))
     answers = answers.groupBy("ak").agg(F.min("a").alias("a"))
-    joined = own.join(answers, own["k"].eqNullSafe(answers["ak"])).select("k", "t", F.char_length("t").alias("n"), "a.*")
+    joined = own.join(answers, own["k"] == answers["ak"]).select("k", "t", F.char_length("t").alias("n"), "a.*")
     half = F.floor(F.col("n") / 2).cast("int")
     edited = F.concat(F.expr("left(t, n - cast(floor(n / 2) as int))"), F.left(F.col("start"), half))
     made = joined.select("k", "n", F.sha2(edited, 256).alias("sha"), sketch(F.col("t"), k, shingle).alias("s"), sketch(edited, k, shingle).alias("e"), F.col("sketch").alias("x"))
     return made.select(
-        F.col("k").alias(key),
+        F.col("k.k").alias(key),
         F.col("n").cast("long").alias("n_chars"),
         F.col("sha").alias("edited_sha256"),
         printed(F.col("s")).alias("fingerprint"),

@@ -67,7 +67,8 @@ def admit(
     """Add ``window_start`` and ``admitted``. Requests are taken in order of (ts, seq).
 
     ``cost`` defaults to 1 per request; ``max_tps`` is a column or one number for all keys.
-    ``seq`` must be unique per key and timestamp.
+    ``seq`` must be unique per key and timestamp. A request without a time, cost or quota takes no
+    tokens and is refused; without a time it has no window.
     """
     if policy not in ("refill", "counter") or anchor not in ("tick", "first_hit"):
         raise ValueError(f"unknown policy {policy!r} or anchor {anchor!r}")
@@ -76,10 +77,10 @@ def admit(
     keyed = requests.withColumns(
         {
             "_key": F.col(key),
-            "_ts": F.unix_micros(F.col(ts)),
+            "_ts": F.coalesce(F.unix_micros(F.col(ts)), F.lit(0).cast("long")),
             "_seq": F.col(seq),
-            "_cost": F.lit(1).cast("long") if cost is None else F.col(cost).cast("long"),
-            "_quota": quota.cast("long") * window_seconds,
+            "_cost": F.lit(1).cast("long") if cost is None else F.coalesce(F.col(cost).cast("long"), F.lit(0).cast("long")),
+            "_quota": F.coalesce(quota.cast("long") * window_seconds, F.lit(0).cast("long")),
         }
     )
     keyed = _tick_windows(keyed, window_seconds) if anchor == "tick" else _first_hit_windows(keyed, window_seconds)
@@ -89,14 +90,17 @@ def admit(
     else:
         decided = _by_refill(keyed, steady=fixed, carry=anchor == "tick")
     columns = [c for c in decided.columns if not c.startswith("_") or c in requests.columns]
-    return decided.withColumn("window_start", F.timestamp_micros("_win")).select(
-        *[c for c in columns if c != "admitted"], "window_start", "admitted"
-    )
+    known = F.col(ts).isNotNull()
+    for needed in ([] if cost is None else [cost]) + ([] if fixed else [max_tps]):
+        known = known & F.col(needed).isNotNull()
+    return decided.withColumns(
+        {"window_start": F.when(F.col(ts).isNotNull(), F.timestamp_micros("_win")), "admitted": F.col("admitted") & known}
+    ).select(*[c for c in columns if c != "admitted"], "window_start", "admitted")
 
 
 def split_rejected(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Admitted rows, and refused rows with a ``reject_reason``."""
-    rejected = decided.filter(~F.col("admitted")).withColumn("reject_reason", F.lit(LIMIT_EXCEEDED))
+    rejected = decided.filter(~F.coalesce("admitted", F.lit(False))).withColumn("reject_reason", F.lit(LIMIT_EXCEEDED))
     return decided.filter("admitted").drop("admitted"), rejected.drop("admitted")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,19 +31,19 @@ def decode(messages: DataFrame, value: str = "value", headers: str = "headers")
     """Turn message values into ``context``, ``items`` and ``error``; a single record is one item.
 
     One JSON parse per message serves both formats. A value that cannot be read keeps its row
-    with ``error`` set, for ``dead_letter``.
+    with ``error`` set, for ``dead_letter``; so does a collection that has no ``items`` at all.
     """
     parsed = F.from_json(F.col(value), _VALUE, {"columnNameOfCorruptRecord": "_unreadable"})
-    read = F.col("_v").isNotNull() & F.col("_v._unreadable").isNull()
+    collection = is_collection(F.col(headers))
+    read = F.col("_v").isNotNull() & F.col("_v._unreadable").isNull() & (~collection | F.col("_v.items").isNotNull())
     single = F.array(F.struct("_v.timestamp", "_v.content"))
-    batch = F.coalesce(F.col("_v.items"), F.array().cast(T.ArrayType(ITEM)))
     return (
         once(messages, _v=parsed)
         .withColumns(
             {
                 "error": F.when(~read, F.lit(PARSE_ERROR)),
                 "context": F.when(read, F.col("_v.context")),
-                "items": F.when(read, F.when(is_collection(F.col(headers)), batch).otherwise(single)),
+                "items": F.when(read, F.when(collection, F.col("_v.items")).otherwise(single)),
             }
         )
         .drop("_v")
@@ -71,15 +71,19 @@ def wrap_single(records: DataFrame) -> DataFrame:
 
 
 def collect_batch(
-    records: DataFrame, batch: list[str], sequence: str, max_items: int = 10_000
+    records: DataFrame, batch: list[str], sequence: str, max_items: int | None = None
 ) -> DataFrame:
     """Group records into batches ordered by ``sequence``, the position inside the batch.
 
-    A message has a size limit, so one that would exceed ``max_items`` becomes several messages
-    numbered by ``part``. The part follows from the position, so no group ever holds more than
-    ``max_items`` rows, however many rows share one batch id.
+    A batch is one message, whatever its size. Only where ``max_items`` is given does a batch with
+    more records become several messages of that many records, numbered by ``part`` from 0; each is
+    then admitted on its own.
     """
-    part = F.floor(F.col(sequence) / max_items).cast("long")
+    part = F.lit(0).cast("long")
+    if max_items is not None:
+        place = F.row_number().over(Window.partitionBy(*batch).orderBy(sequence)) - 1
+        records = records.withColumn("_place", place)
+        part = F.floor(F.col("_place") / max_items).cast("long")
     ordered = F.array_sort(
         F.collect_list(F.struct(F.col(sequence).alias("_seq"), F.struct("timestamp", "content").alias("_item")))
     )

@@ -65,6 +65,7 @@ def _records(messages: DataFrame) -> DataFrame:
 
 
 def _merged(made: DataFrame) -> DataFrame:
-    return made.withColumn("error", F.coalesce("_unread", "error")).drop(
-        "_unread", "content", "timestamp", "value", "headers"
-    )
+    made = made.withColumn("error", F.coalesce("_unread", "error"))
+    # a failed row keeps its message, for a dead letter that can be replayed
+    failed = {c: F.when(F.col("error").isNotNull(), F.col(c)) for c in ("value", "headers")}
+    return made.withColumns(failed).drop("_unread", "content", "timestamp")

@@ -57,7 +57,7 @@ PATH_RULES = (
 
 
 def nested(spark, sf):
-    words = F.transform(F.slice(F.split("text", " ", 8), 1, 7), lambda w: F.struct(w.alias("word"), F.length(w).alias("n")))
+    words = F.transform(F.split("text", " "), lambda w: F.struct(w.alias("word"), F.length(w).alias("n")))
     return texts(spark, sf).select(
         "doc_id",
         F.struct(
@@ -66,7 +66,7 @@ def nested(spark, sf):
     )
 
 
-_WORDS = "list_slice(string_split(text, ' '), 1, 7)"
+_WORDS = "string_split(text, ' ')"
 _MARKED = f"list_transform({_WORDS}, lambda w: CASE WHEN length(w) >= 2 THEN left(w, 2) ELSE '' END || '[PART REDACTED]')"
 
 

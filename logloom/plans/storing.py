@@ -70,11 +70,16 @@ def _counted(documents):
 
 @query("sink_index", _INDEX_COUNTS)
 def sink_index(spark, sf):
-    """Written twice under one batch id: the replay must not duplicate documents."""
+    """Three batches and an append; one batch was first written under another clock, and its replay must leave nothing of that."""
     out = i.scratch(spark, "index")
     good, _ = envelope.split_errors(flows.to_index(i.messages(spark, sf), INDEX_RULES, F.col("ts")))
-    for _ in range(2):
-        tables.write_index(good, out, batch_id=7)
+    late, _ = envelope.split_errors(flows.to_index(i.messages(spark, sf), INDEX_RULES, F.timestamp_micros(F.lit(0))))
+    mine = F.pmod(F.col("event_id"), F.lit(5))
+    tables.write_index(late.filter(mine == 1), out, batch_id=1)
+    for batch in (0, 1, 2):
+        tables.write_index(good.filter(mine == batch), out, batch_id=batch)
+    for rest in (3, 4):
+        tables.write_index(good.filter(mine == rest), out)
     return _counted(spark.read.parquet(out))
 
 

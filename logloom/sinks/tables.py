@@ -28,14 +28,26 @@ def write_kafka(messages: DataFrame, servers: str) -> None:
     )
 
 
-def write_index(documents: DataFrame, path: str, batch_id: int = 0) -> None:
-    """Documents as a table partitioned by index; a replayed batch replaces itself."""
-    rows = documents.select("index_name", F.lit(batch_id).cast("long").alias("batch_id"), "document")
-    (
-        balanced(rows, "index_name")
-        .write.partitionBy("index_name", "batch_id")
-        .mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    )
+# The batch that holds documents appended without a batch id.
+NO_BATCH = -1
+
+
+def write_index(documents: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """Documents as a table partitioned by batch and index.
+
+    Without a ``batch_id`` they are appended. With one, the whole batch is replaced, whatever its
+    indexes were: a batch replayed after midnight, or under new rules, leaves nothing behind.
+    """
+    rows = balanced(documents.select("index_name", "document"), "index_name")
+    mode = "append" if batch_id is None else "overwrite"
+    batch = NO_BATCH if batch_id is None else batch_id
+    rows.write.partitionBy("index_name").mode(mode).option("partitionOverwriteMode", "static").parquet(f"{path}/batch_id={batch}")
+
+
+def write_dead_letters(failed: DataFrame, path: str, batch_id: int) -> None:
+    """Failed messages with what is needed to replay them; a replayed batch replaces itself."""
+    rows = failed.select("topic", "error", "value", "headers")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/batch_id={batch_id}")
 
 
 def write_archive(lines: DataFrame, path: str, compression: str = "gzip", mode: str = "append") -> None:

@@ -13,8 +13,9 @@ _STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("window", "quota
 
 
 class Bucket(StatefulProcessor):
-    """Window, quota and tokens of one key; requests are taken in order of arrival, and in order of
-    (ts, seq) within an Arrow batch. A late request counts against the current window."""
+    """Window, quota and tokens of one key; requests are taken in order of (ts, seq) within a
+    micro-batch, however its rows are cut into Arrow batches. A late request counts against the
+    current window."""
 
     def __init__(self, window_seconds: int, policy: str, anchor: str, idle_seconds: int | None):
         self._width = window_seconds * 1_000_000
@@ -25,15 +26,14 @@ class Bucket(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         state = tuple(self._state.get()) if self._state.exists() else None
-        for batch in rows:
-            batch = batch.set_axis(_COLUMNS, axis="columns").sort_values(["ts", "seq"], kind="stable").reset_index(drop=True)
-            verdicts = []
-            for at, cost, quota in zip(batch["ts"], batch["cost"], batch["quota"], strict=True):
-                state, verdict = self._take(state, int(at), int(cost), int(quota))
-                verdicts.append(verdict)
-            yield pd.DataFrame(
-                {"key": key[0], "seq": batch["seq"], "cost": batch["cost"], "admitted": verdicts}
-            )
+        # five numbers a request: a key's share of a micro-batch, whose size the source's limits bound
+        batch = pd.concat([b.set_axis(_COLUMNS, axis="columns") for b in rows])
+        batch = batch.sort_values(["ts", "seq"], kind="stable").reset_index(drop=True)
+        verdicts = []
+        for at, cost, quota in zip(batch["ts"], batch["cost"], batch["quota"], strict=True):
+            state, verdict = self._take(state, int(at), int(cost), int(quota))
+            verdicts.append(verdict)
+        yield pd.DataFrame({"key": key[0], "seq": batch["seq"], "cost": batch["cost"], "admitted": verdicts})
         if state is not None:
             self._state.update(state)
 

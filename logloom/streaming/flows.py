@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logloom.operators.envelope import split_errors
 from logloom.plans.flows import to_archive, to_index
-from logloom.sinks.tables import write_index
+from logloom.sinks.tables import write_archive, write_dead_letters, write_index
 
 
 def _trigger(writer, every: str | None):
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
 
 
+def split_errors_kept(made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Good rows, and failed rows with their error."""
+    return made.filter("error IS NULL"), made.filter("error IS NOT NULL")
+
+
 def index_stream(
     messages: DataFrame, path: str, dead_letters: str, checkpoint: str, rules, *, every: str | None = None, clock=None,
     data_stream: bool = False,
@@ -22,30 +26,46 @@ def index_stream(
     """Messages to an index table, failures to a dead-letter table.
 
     ``rules`` is a mapping, or ``LiveRules`` whose ``refresh`` runs before each micro-batch. A batch
-    that is replayed after a failure overwrites its own partitions, so nothing is stored twice.
+    that is replayed after a failure replaces all it had written, so nothing is stored twice. A dead
+    letter keeps the message, so it can be replayed.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         current = rules.refresh() if hasattr(rules, "refresh") else rules
-        made = to_index(batch, current, clock, data_stream=data_stream)
-        good, bad = split_errors(made)
-        write_index(good, path, batch_id)
-        (
-            bad.select("topic", "error", F.lit(batch_id).cast("long").alias("batch_id"))
-            .write.partitionBy("batch_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(dead_letters)
-        )
+        made = to_index(batch, current, clock, data_stream=data_stream).persist()  # for two writes
+        try:
+            good, bad = split_errors_kept(made)
+            write_index(good, path, batch_id)
+            write_dead_letters(bad, dead_letters, batch_id)
+        finally:
+            made.unpersist()
 
     writer = messages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
 
 
 def archive_stream(
-    messages: DataFrame, path: str, checkpoint: str, *, every: str | None = None, compression: str = "gzip", simple: bool = True
+    messages: DataFrame, path: str, checkpoint: str, *, every: str | None = None, compression: str = "gzip", simple: bool = True,
+    dead_letters: str | None = None,
 ) -> StreamingQuery:
     """Messages to compressed text per topic; offsets commit with the files, exactly once.
 
-    The trigger interval is the flush time; ``maxBytesPerTrigger`` on the source is the flush size.
+    The trigger interval is the flush time; ``maxBytesPerTrigger`` on the source is the flush size. With
+    ``dead_letters`` each micro-batch is written to a folder of its own, which a replay replaces, and
+    messages that failed go to that table with what is needed to replay them; without it they are left out.
     """
+    if dead_letters:
+
+        def store(batch: DataFrame, batch_id: int) -> None:
+            made = to_archive(batch, simple=simple).persist()
+            try:
+                good, bad = split_errors_kept(made)
+                write_archive(good, f"{path}/batch_id={batch_id}", compression, mode="overwrite")
+                write_dead_letters(bad, dead_letters, batch_id)
+            finally:
+                made.unpersist()
+
+        return _trigger(messages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint), every).start()
     lines = to_archive(messages, simple=simple).filter("error IS NULL").select("topic", F.col("line").alias("value"))
     writer = (
         lines.writeStream.format("text").option("compression", compression).option("path", path)

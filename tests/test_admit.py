@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.operators.admit import admit, limiter, split_rejected
 
@@ -121,3 +122,13 @@ def test_refused_rows_keep_all_columns(spark):
     good, bad = split_rejected(decided)
     assert good.count() + bad.count() == 200
     assert set(bad.columns) == {"key", "ts", "seq", "cost", "max_tps", "window_start", "reject_reason"}
+
+
+@pytest.mark.parametrize("anchor", ["tick", "first_hit"])
+@pytest.mark.parametrize("policy", ["refill", "counter"])
+def test_requests_without_time_or_cost_are_refused_and_kept(spark, anchor, policy):
+    rows = [("k", n, None if n == 3 else f"2024-01-01 00:00:0{n}", None if n == 5 else 1) for n in range(8)]
+    requests = spark.createDataFrame(rows, "key string, seq int, t string, cost int").withColumn("ts", F.col("t").cast("timestamp"))
+    good, bad = split_rejected(admit(requests, cost="cost", max_tps=1, window_seconds=4, policy=policy, anchor=anchor))
+    assert sorted([r.seq for r in good.collect()] + [r.seq for r in bad.collect()]) == list(range(8))
+    assert {3, 5} <= {r.seq for r in bad.collect()}

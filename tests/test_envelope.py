@@ -100,3 +100,18 @@ def test_usage_report(spark):
     rows = spark.createDataFrame([("some-secret-1234", True, 5)], "app_secret string, ok boolean, at int")
     report = meter.usage_report(rows.withColumn("ts", F.timestamp_seconds("at"))).first().report
     assert report == '{"application_groups":[{"token":"some-secret-1234","new_log_count":1}]}'
+
+
+def test_a_batch_is_one_message_and_its_parts_are_dense(spark):
+    rows = [(1, n, "t", "c") for n in range(9998, 10002)]
+    records = spark.createDataFrame(rows, "b int, n int, timestamp string, content string")
+    assert [(r.part, len(r["items"])) for r in envelope.collect_batch(records, ["b"], "n").collect()] == [(0, 4)]
+    parts = envelope.collect_batch(records, ["b"], "n", max_items=3).collect()
+    assert sorted((r.part, len(r["items"])) for r in parts) == [(0, 3), (1, 1)]
+
+
+def test_a_collection_without_items_is_an_error(spark):
+    header = [(schema.FORMAT_HEADER if hasattr(schema, "FORMAT_HEADER") else envelope.FORMAT_HEADER, bytearray(envelope.COLLECTION_FORMAT, "ascii"))]
+    rows = spark.createDataFrame([('{"context":{"kafka_topic":"t"}}', header)], "value string, headers array<struct<key:string,value:binary>>")
+    good, bad = envelope.split_errors(envelope.decode(rows))
+    assert good.count() == 0 and bad.first().error == schema.PARSE_ERROR

@@ -153,8 +153,13 @@ def held_out(key: Column) -> Column:
 def train(known: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", label: str = "quality") -> Trees:
     """Trees from the stored statistics of labelled rows that are not held out; null labels teach nothing."""
     labelled = labels.select(F.col(key).alias("lk"), F.col(label).alias("y")).filter(F.col("y").isNotNull() & ~held_out(F.col("lk")))
-    joined = known.join(labelled, known[key] == F.col("lk")).select("x", "y", "lk")
-    sample = joined.orderBy(F.xxhash64("lk"), "lk", "y").limit(rows).select("x", "y").collect()
+    joined = stored(known.join(labelled, known[key] == F.col("lk")).select("x", "y", "lk"), "labelled")
+    count = joined.count()
+    # rows by the order of their keys' hashes, thinned before they are ordered: otherwise every
+    # partition would send up to `rows` rows to the driver
+    place = F.pmod(F.xxhash64("lk"), F.lit(1 << 30))
+    thinned = joined.filter(place < int(min(1.0, 1.1 * rows / max(1, count)) * (1 << 30)))
+    sample = thinned.orderBy(place, "lk", "y").limit(rows).select("x", "y").collect()
     x = np.array([r["x"] for r in sample], dtype=np.float32).reshape(-1, len(STATISTICS))
     return fit(x, np.array([1.0 if r["y"] > 0 else 0.0 for r in sample]))
 

@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, key: str = "doc_id",
     rooted = stored(rooted, "rooted")
     # a struct orders nulls first; one small row per component and task reaches the shuffle
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col(key).alias("k"), F.col("text_hash").alias("x"))).alias("first"))
-    joined = rooted.join(first, "root")
+    # stored, so that the join reads two plain tables and Spark can split a root with very many rows
+    joined = rooted.join(stored(first, "first"), "root")
     return joined.select(
         key,
         F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"),

@@ -11,6 +11,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -188,8 +189,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, th
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """``docs`` without the rows whose text the classifier rejects."""
-    scored = score_quality(docs, labels, rows, threshold, key, text, label).filter("predicted = 0")
-    # equal texts have equal scores, so the text's hash and the key say which rows go
-    rejected = stored(scored.select(F.col(key).alias("__k"), F.col("text_hash").alias("__h")).distinct(), "rejected")
-    hashed = docs.withColumn("__x", F.xxhash64(whole(F.col(text))))
-    return hashed.join(rejected, hashed[key].eqNullSafe(rejected["__k"]) & (hashed["__x"] == rejected["__h"]), "left_anti").select(*docs.columns)
+    known = stored(document_statistics(docs, key, text), "statistics")
+    trees = docs.sparkSession.sparkContext.broadcast(train(known, labels, rows, key, label))
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        x = np.array([statistics(t) for t in texts], dtype=np.float32).reshape(-1, len(STATISTICS))
+        return pd.Series(trees.value.score(x))
+
+    # a score depends on the text alone: scoring again where the text is costs less than moving it to its score
+    return docs.filter(score(whole(F.col(text))) >= threshold)

@@ -216,7 +216,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, key: str = "doc_id",
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate component: the smallest key, then the smallest text hash."""
-    chosen = near_duplicates(docs, radius, key, text).filter("kept").select(F.col(key).alias("__k"), F.col("text_hash").alias("__x")).distinct()
-    hashed = docs.withColumn("__x", F.xxhash64(whole(F.col(text))))
-    kept = hashed.join(chosen, F.col(key).eqNullSafe(F.col("__k")) & (hashed["__x"] == chosen["__x"]), "left_semi")
-    return kept.dropDuplicates([key, "__x"]).select(*docs.columns)
+    # as a struct a null key equals itself, so one partitioning of the texts serves the join and the last step
+    identity = F.struct(F.struct(F.col(key).alias("k")).alias("k"), F.col("text_hash").alias("x")).alias("__id")
+    chosen = stored(near_duplicates(docs, radius, key, text).filter("kept").select(identity).distinct(), "chosen")
+    own = F.struct(F.struct(F.col(key).alias("k")).alias("k"), F.xxhash64(whole(F.col(text))).alias("x"))
+    return docs.withColumn("__id", own).join(chosen, "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)

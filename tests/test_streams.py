@@ -88,6 +88,6 @@ def test_archive_stream_keeps_failed_messages(spark, tmp_path):
     )
     messages.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(messages.schema).parquet(f"{tmp_path}/in")
-    streaming.archive_stream(stream, f"{tmp_path}/lines", f"{tmp_path}/checkpoint", dead_letters=f"{tmp_path}/dead").awaitTermination()
+    streaming.archive_stream(stream, f"{tmp_path}/lines", f"{tmp_path}/checkpoint", simple=False, dead_letters=f"{tmp_path}/dead").awaitTermination()
     assert spark.read.text(f"{tmp_path}/lines").count() == 1
     assert [r.value for r in spark.read.parquet(f"{tmp_path}/dead").collect()] == ["unreadable"]

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import math
+import sys
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -15,9 +16,24 @@ from pyspark.sql import types as T
 # The characters a canonical JSON string escapes beyond the JSON minimum.
 _ESCAPES = {"<": "\\u003c", ">": "\\u003e", "&": "\\u0026", "\u2028": "\\u2028", "\u2029": "\\u2029"}
 
+#: Levels of nesting that count as JSON, and digits from which a whole number is kept as text.
+MAX_DEPTH = 9000
+MAX_DIGITS = 4000
+
+
+class _Digits(float):
+    """A whole number with more digits than ``int`` reads; it is written as it was found."""
+
+    def __new__(cls, token: str):
+        made = super().__new__(cls, token)
+        made.token = token
+        return made
+
 
 def plain_number(value) -> str:
     """Decimal digits without an exponent for whole numbers."""
+    if isinstance(value, _Digits):
+        return value.token
     if isinstance(value, int) or value.is_integer():
         return str(int(value))
     return repr(value)
@@ -25,6 +41,8 @@ def plain_number(value) -> str:
 
 def short_number(value, low: int = -4, high: int = 6) -> str:
     """Shortest digits of a double, with an exponent below 1e``low`` and from 1e``high`` upward."""
+    if isinstance(value, _Digits):
+        return value.token
     value = float(value)
     if value == 0:
         return "-0" if math.copysign(1, value) < 0 else "0"
@@ -45,6 +63,8 @@ def short_number(value, low: int = -4, high: int = 6) -> str:
 
 
 def _json_number(value) -> str:
+    if isinstance(value, _Digits):
+        return value.token
     if isinstance(value, int) and not isinstance(value, bool):
         return str(value)
     text = short_number(value, low=-6, high=21)
@@ -81,12 +101,20 @@ def _number(token):
     return value
 
 
+def _whole(token):
+    return int(token) if len(token) <= MAX_DIGITS else _Digits(token)
+
+
 def rewrite(text: str | None, leaf, objects_only: bool = False) -> str | None:
-    """Canonical JSON with ``leaf(path, value)`` applied to strings and numbers; None if not JSON."""
+    """Canonical JSON with ``leaf(path, value)`` applied to strings and numbers; None if not JSON.
+
+    Text nested deeper than ``MAX_DEPTH`` does not count as JSON.
+    """
     if text is None:
         return None
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 2 * MAX_DEPTH))  # one frame a level, none on the C stack
     try:
-        value = json.loads(text, parse_constant=_reject, parse_float=_number)
+        value = json.loads(text, parse_constant=_reject, parse_float=_number, parse_int=_whole)
         if objects_only and not isinstance(value, dict):
             return None
         written = _write(value, "", leaf)
@@ -95,11 +123,15 @@ def rewrite(text: str | None, leaf, objects_only: bool = False) -> str | None:
         return None
 
 
-def rewriter(leaf, objects_only: bool = False):
-    """A text → text pandas UDF around ``rewrite``."""
+def rewriter(leaf, objects_only: bool = False, keep_other: bool = False):
+    """A text → text pandas UDF around ``rewrite``; ``keep_other`` returns what is not JSON as it is."""
+
+    def changed(text):
+        done = rewrite(text, leaf, objects_only)
+        return text if done is None and keep_other else done
 
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: rewrite(text, leaf, objects_only)).astype(object)
+        return texts.map(changed).astype(object)
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, T.StringType())

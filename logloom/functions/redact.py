@@ -131,8 +131,7 @@ def redact_struct(value: Column, dtype: T.DataType, rules) -> Column:
     return rewrite_leaves(value, dtype, leaf)
 
 
-def redact_json(text: Column, rules) -> Column:
-    """Path rules on JSON text of unknown shape; NULL where the text is not JSON."""
+def _json_leaf(rules):
     compiled = [(python_regex(r.path), f"[{r.name} REDACTED]", max(r.keep_start, 0), max(r.keep_end, 0)) for r in rules]
 
     def leaf(path, value):
@@ -145,34 +144,44 @@ def redact_json(text: Column, rules) -> Column:
                 return value[:start] + tag + value[len(value) - end :]
         return value
 
-    return jsontext.rewriter(leaf)(text)
+    return leaf
+
+
+def redact_json(text: Column, rules) -> Column:
+    """Path rules on JSON text of unknown shape; NULL where the text is not JSON."""
+    return jsontext.rewriter(_json_leaf(rules))(text)
 
 
 def redact_typed_json(text: Column, schema: T.StructType, rules) -> Column:
-    """Path rules on JSON text of a known shape; NULL where the text is not a JSON object."""
-    with_check = T.StructType([*schema.fields, T.StructField("_unreadable", T.StringType())])
-    parsed = F.from_json(text, with_check, {"columnNameOfCorruptRecord": "_unreadable"})
+    """Path rules on JSON text, in built-in expressions wherever ``schema`` holds the whole text.
+
+    A text that the schema would change (another field, a null, another type, an array, a repeated
+    name) is told by comparing both as VARIANT; it goes through the helper for unknown shapes, so no
+    field is lost and none is left unredacted. Text that is not JSON stays as it is.
+    """
 
-    def rewritten(value: Column) -> Column:
-        kept = F.struct(*[value.getField(f.name).alias(f.name) for f in schema.fields])
-        return F.when(value.getField("_unreadable").isNull(), F.to_json(redact_struct(kept, schema, rules)))
+    def canonical(json_text: Column) -> Column:
+        # in brackets, for the parser would not mind what follows a whole value
+        return F.try_parse_json(F.concat(F.lit("["), json_text, F.lit("]"))).cast("string")
 
+    held = F.coalesce(canonical(text) == canonical(F.to_json(F.from_json(text, schema))), F.lit(False))
+    others = F.when(~held, text)
     # A lambda binds the parsed value, so it is parsed once however many fields are read.
-    return F.transform(F.array(parsed), rewritten)[0]
+    typed = F.transform(F.array(F.from_json(text, schema)), lambda value: F.to_json(redact_struct(value, schema, rules)))[0]
+    return F.coalesce(jsontext.rewriter(_json_leaf(rules), keep_other=True)(others), typed)
 
 
 def redact_text(text: Column, rules: RuleSet, schema: T.StructType | None = None) -> Column:
     """A whole rule set over log text: path rules if the text is JSON, then static rules in order.
 
-    With ``schema`` the path rules stay in built-in expressions; without it JSON of unknown
-    shape goes through an Arrow-batched helper.
+    With ``schema`` the path rules of texts it describes stay in built-in expressions; all other JSON
+    goes through an Arrow-batched helper.
     """
     if rules.paths:
         if schema is None:
-            redacted = redact_json(text, rules.paths)
+            text = F.coalesce(redact_json(text, rules.paths), text)
         else:
-            redacted = redact_typed_json(text, schema, rules.paths)
-        text = F.coalesce(redacted, text)
+            text = redact_typed_json(text, schema, rules.paths)
     return redact_statics(text, rules.static)
 
 
@@ -194,10 +203,10 @@ def redact_by_app(
     default = rules.get(DEFAULT_APP, RuleSet())
     # An Arrow helper runs for every row of its input whatever branch the row takes, so each
     # branch hands it only the texts of its own applications.
-    mine = F.when(app.isNull() | ~app.isin(named), text) if default.paths and schema is None else text
+    mine = F.when(app.isNull() | ~app.isin(named), text) if default.paths else text
     fallback = redact_text(mine, default, schema)
     branches = F
     for rule_set, names in by_rules.items():
-        mine = F.when(app.isin(names), text) if rule_set.paths and schema is None else text
+        mine = F.when(app.isin(names), text) if rule_set.paths else text
         branches = branches.when(app.isin(names), redact_text(mine, rule_set, schema))
     return fallback if branches is F else branches.otherwise(fallback)

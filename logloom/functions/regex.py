@@ -7,7 +7,6 @@ refuses the two things that cannot be restated safely.
 from __future__ import annotations
 
 import re
-import warnings
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +30,12 @@ _POSIX_NAMES = {
     "space": "Space", "upper": "Upper", "word": "w", "xdigit": "XDigit",
 }
 
+_POSIX_RANGES = {
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7f", "blank": r"\t ", "cntrl": r"\x00-\x1f\x7f",
+    "digit": "0-9", "graph": "!-~", "lower": "a-z", "print": " -~", "punct": r"!-/:-@\[-`{-~",
+    "space": r"\t-\r ", "upper": "A-Z", "word": r"\w", "xdigit": "0-9A-Fa-f",
+}
+
 
 # For word edges next to a token that is surely a word character.
 _WORD = re.compile(r"\\[dw]|\w", re.ASCII)
@@ -145,7 +150,7 @@ def _word_class(inside: list[str]) -> bool:
 def _may_be_empty(pattern: str) -> bool:
     try:
         compiled = python_regex(pattern)
-    except re.error:
+    except (re.error, UnsafePattern):
         return True
     return any(not found.group() for text in ("", "a", "-", "a -") for found in compiled.finditer(text))
 
@@ -167,19 +172,53 @@ def _varies(body: list[str]) -> bool:
 
 
 def python_regex(pattern: str) -> re.Pattern:
-    """The same rule for Python: field paths while planning, JSON leaves inside Arrow batches."""
-
-    def restate(found):
-        token = found.group()
-        if token == r"\z":
-            return r"\Z"
-        if token == r"\s":
-            return r"[\t\n\f\r ]"
-        return token if token[0] == "\\" else token.replace(r"\s", r"\t\n\f\r ")
-
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore", FutureWarning)  # "[[" is plain text here
-        return re.compile(re.sub(r"\[(?:\\.|[^]\\])+\]|\\.", restate, pattern), re.ASCII)
+    """The same rule for Python: field paths while planning, JSON leaves inside Arrow batches.
+
+    Raises UnsafePattern for what Python cannot say: Unicode properties and unknown named classes.
+    """
+    multiline = re.search(r"\(\?[a-zA-Z]*m", pattern) is not None
+    out, in_class, class_start = [], False, -1
+    for i, token in enumerate(_TOKEN.findall(pattern)):
+        if re.match(r"\\[pPC]", token):
+            raise UnsafePattern(f"{token} is not supported in a path: {pattern!r}")
+        if token.startswith(r"\Q"):
+            out.append(re.escape(token[2:].removesuffix(r"\E")))
+        elif token.startswith(r"\x{"):
+            out.append(re.escape(chr(int(token[3:-1], 16))))
+        elif in_class:
+            in_class = token != "]" or i == class_start
+            out.append(_python_inside(token, pattern))
+        elif token[0] == "[":
+            in_class, class_start = True, i
+            out.append(token if not token.endswith("]") else token[:-1] + r"\]")
+        elif token == "$" and not multiline or token == r"\z":
+            out.append(r"\Z")
+        elif token == r"\s":
+            out.append(r"[\t\n\f\r ]")
+        elif token == r"\S":
+            out.append(r"[^\t\n\f\r ]")
+        elif re.match(r"\(\?<\w", token):
+            out.append(token.replace("(?<", "(?P<"))
+        else:
+            out.append(token)
+    return re.compile("".join(out), re.ASCII)
+
+
+def _python_inside(token: str, pattern: str) -> str:
+    """A token within a character class; "[", "&", "|" and "~" are plain there."""
+    if token.startswith("[:"):
+        negate, name = _POSIX.fullmatch(token).groups()
+        if name not in _POSIX_RANGES:
+            raise UnsafePattern(f"unknown class {token} in {pattern!r}")
+        if not negate:
+            return _POSIX_RANGES[name]
+        inside = re.compile(f"[{_POSIX_RANGES[name]}]")
+        return "".join(re.escape(chr(c)) for c in range(128) if not inside.match(chr(c))) + r"\x80-\U0010ffff"
+    if token == r"\s":
+        return r"\t\n\f\r "
+    if token[0] == "\\":
+        return token
+    return "".join("\\" + c if c in "[&|~" else c for c in token)
 
 
 def literal(replacement: str) -> str:

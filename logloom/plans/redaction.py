@@ -92,16 +92,13 @@ RULESET = r.RuleSet(
 )
 RULESET_TYPE = T.StructType().add("lang", "string").add("text", "string").add("meta", T.StructType().add("source", "string"))
 
-# Only texts whose JSON form equals the plain text are compared as text: no quotes, line ends or signs.
+# Static rules see the JSON form of a text, line ends and quotes escaped.
 _RULESET_SQL = f"""SELECT doc_id, '[LANG REDACTED]' AS lang, '[SOURCE REDACTED]' || right(source, 1) AS source,
-  {_replaced(_replaced("regexp_replace(text, '[^A-Za-z0-9@. ]', '_', 'g')", EMAIL), NUMBER)} AS text FROM documents"""
+  json_extract_string({_replaced(_replaced("CAST(to_json(text) AS VARCHAR)", EMAIL), NUMBER)}, '$') AS text FROM documents"""
 
 
 def _json_texts(spark, sf):
-    plain = F.regexp_replace("text", "[^A-Za-z0-9@. ]", "_")
-    return texts(spark, sf).select(
-        "doc_id", F.to_json(F.struct("lang", plain.alias("text"), F.struct("source").alias("meta"))).alias("line")
-    )
+    return texts(spark, sf).select("doc_id", F.to_json(F.struct("lang", "text", F.struct("source").alias("meta"))).alias("line"))
 
 
 def _fields(df):
@@ -123,6 +120,29 @@ def redact_ruleset_any_json(spark, sf):
     return _fields(lines.select("doc_id", r.redact_text(F.col("line"), RULESET).alias("line")))
 
 
+MIXED = r.RuleSet(paths=(r.PathRule("LANG", r"\.lang$"),))
+MIXED_TYPE = T.StructType().add("lang", "string").add("n", "integer")
+
+
+@query(
+    "redact_mixed_json",
+    """SELECT doc_id, '[LANG REDACTED]' AS lang, CASE doc_id % 4 WHEN 2 THEN source ELSE CAST(n_chars AS VARCHAR) END AS n,
+      CASE doc_id % 4 WHEN 1 THEN text END AS extra FROM documents""",
+)
+def redact_mixed_json(spark, sf):
+    """Every document as a line that the schema fits, that has another field, another type, or is an array."""
+    shape = F.col("doc_id") % 4
+    fits, more, other = F.struct("lang", F.col("n_chars").alias("n")), F.struct("lang", "text", F.col("n_chars").alias("n")), F.struct("lang", F.col("source").alias("n"))
+    line = F.when(shape == 0, F.to_json(fits)).when(shape == 1, F.to_json(more)).when(shape == 2, F.to_json(other)).otherwise(F.to_json(F.array(fits)))
+    rows = spread(i.table(spark, sf, "documents")).select("doc_id", line.alias("line"))
+    done = rows.select("doc_id", r.redact_text(F.col("line"), MIXED, MIXED_TYPE).alias("line"))
+    inside = F.when(F.col("line").startswith("["), F.get_json_object("line", "$[0]")).otherwise(F.col("line"))
+    return done.select("doc_id", inside.alias("line")).select(
+        "doc_id", F.get_json_object("line", "$.lang").alias("lang"), F.get_json_object("line", "$.n").alias("n"),
+        F.get_json_object("line", "$.text").alias("extra"),
+    )
+
+
 _WORD_SQL = r"regexp_replace(text, '(?i)\b(the|und|des)\b', '[WORD REDACTED]', 'g')"
 BY_APP_SQL = f"""CASE source WHEN 'src0' THEN {_WORD_SQL} WHEN 'src1' THEN text WHEN 'src2' THEN {_replaced("text", NUMBER)}
   WHEN 'src3' THEN {_replaced("text", NUMBER)} ELSE {_replaced(_replaced("text", EMAIL), NUMBER)} END"""

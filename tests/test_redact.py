@@ -115,3 +115,36 @@ def test_mixed_json_keeps_nulls_numbers_and_order(spark):
 def test_bad_rules_fail_while_loading():
     with pytest.raises(UnsafePattern):
         r.StaticRule("X", r"(\w+\s?)*end")
+
+
+TYPED = T.StructType().add("email", "string").add("n", "integer")
+MIXED = [
+    ('{"email":"a@b.c","n":1}', '{"email":"[MAIL REDACTED]","n":1}'),
+    ('{"email":"a@b.c","n":1,"extra":"keep me"}', '{"email":"[MAIL REDACTED]","extra":"keep me","n":1}'),
+    ('{"email":"a@b.c","n":"abc"}', '{"email":"[MAIL REDACTED]","n":"abc"}'),
+    ('[{"email":"a@b.c"}]', '[{"email":"[MAIL REDACTED]"}]'),
+    ('{"n":null,"email":"a@b.c"}', '{"email":"[MAIL REDACTED]","n":null}'),
+    ('{"email":5,"n":3000000000}', '{"email":5,"n":3000000000}'),
+    ('{"in":{"email":"a@b.c"},"email":"d@e.f"}', '{"email":"[MAIL REDACTED]","in":{"email":"[MAIL REDACTED]"}}'),
+    ('{"email":"a@b.c"} and more', '{"email":"a@b.c"} and more'),
+    ("{'email':'a@b.c'}", "{'email':'a@b.c'}"),
+    ("", ""),
+    (None, None),
+]
+
+
+@pytest.mark.parametrize(("text", "wanted"), MIXED)
+def test_a_schema_neither_drops_nor_skips(spark, text, wanted):
+    rules = r.RuleSet(paths=(r.PathRule("MAIL", r"\.email$"),))
+    assert one(spark, r.redact_text(F.col("t"), rules, TYPED), t=text) == wanted
+    assert one(spark, r.redact_text(F.col("t"), rules), t=text) == wanted
+
+
+def test_deep_nesting_and_long_numbers_are_redacted(spark):
+    rules = r.RuleSet(paths=(r.PathRule("MAIL", r"\.email$"),))
+    deep = '{"a":' * 3000 + '{"email":"a@b.c"}' + "}" * 3000
+    assert one(spark, r.redact_text(F.col("t"), rules), t=deep) == deep.replace("a@b.c", "[MAIL REDACTED]")
+    long = '{"email":"a@b.c","n":0}'.replace("0", "1" + "0" * 300)
+    assert one(spark, r.redact_text(F.col("t"), rules), t=long) == long.replace("a@b.c", "[MAIL REDACTED]")
+    longer = '{"email":"a@b.c","n":0}'.replace("0", "7" * 6000)
+    assert one(spark, r.redact_text(F.col("t"), rules), t=longer) == longer.replace("a@b.c", "[MAIL REDACTED]")

@@ -34,3 +34,21 @@ def test_refused(pattern):
 def test_python_form():
     assert python_regex(r"a\z").search("a") and not python_regex(r"\s").search("\x0b")
     assert not python_regex(r"[\s\w]").search("\x0b") and not python_regex(r"\w").search("é")
+
+
+@pytest.mark.parametrize(
+    ("pattern", "path", "found"),
+    [
+        (r"^\.[[:lower:]]+$", ".email", True), (r"^\.[[:lower:]]+$", ".Email", False), (r"^\.[[:^digit:]]+$", ".a1", False),
+        (r"mail$", ".mail\n", False), (r"\Q.a[]\E", ".a[].b", True), (r"[[:punct:][:digit:]]x", ".]x", True), (r"a[]]b", ".a]b", True),
+        (r"[a&&b]x", ".&x", True), (r"(?<n>a)b", ".ab", True), (r"\x{61}b", ".ab", True), (r"[\S]b", ". b", False),
+    ],
+)
+def test_python_paths_match_as_re2(pattern, path, found):
+    assert duckdb.execute("SELECT regexp_matches(?, ?)", [path, pattern.replace("(?<n>", "(?P<n>")]).fetchone()[0] == found
+    assert bool(python_regex(pattern).search(path)) == found
+
+
+def test_properties_are_refused_in_paths():
+    with pytest.raises(UnsafePattern):
+        python_regex(r"\pL")

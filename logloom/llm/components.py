@@ -10,8 +10,9 @@ from logloom.session import stored
 
 def _to_minimum(links: DataFrame) -> DataFrame:
     """u, v, m with m the smallest of u and its partners. Minima are combined before the shuffle and
-    joined back, so a node with very many partners is a skewed join key that Spark splits, not a group."""
-    least = links.groupBy("u").agg(F.min("v").alias("least"))
+    joined back, so a node with very many partners is a skewed join key that Spark splits, not a group.
+    The minima are stored first: while they are few, links stay where they are."""
+    least = stored(links.groupBy("u").agg(F.min("v").alias("least")), "least")
     return links.join(least, "u").select("u", "v", F.least("u", "least").alias("m"))
 
 
@@ -42,7 +43,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(edges, "links")
     state = _state(edges)
     while state[0]:
-        edges = stored(_small_star(_large_star(edges)).distinct(), "links")
+        edges = stored(_small_star(stored(_large_star(edges), "links")).distinct(), "links")
         now = _state(edges)
         if now == state:
             break

@@ -67,7 +67,8 @@ def admit(
     """Add ``window_start`` and ``admitted``. Requests are taken in order of (ts, seq).
 
     ``cost`` defaults to 1 per request; ``max_tps`` is a column or one number for all keys.
-    ``seq`` must be unique per key and timestamp. A request without a time, cost or quota takes no
+    Requests repeated with equal key, time, ``seq`` and cost all stay; each takes its cost and they share
+    one verdict: admitted if every one of them fits. A request without a time, cost or quota takes no
     tokens and is refused; without a time it has no window.
     """
     if policy not in ("refill", "counter") or anchor not in ("tick", "first_hit"):
@@ -148,6 +149,11 @@ def _prefixed(df: DataFrame, prefix: str, columns: list[str], *others: str) -> D
     return df.select(*[F.col(c).alias(prefix + c) for c in columns], *others)
 
 
+def _shared(verdicts: DataFrame, verdict: str) -> DataFrame:
+    """One verdict per place, so that the join back multiplies no repeated row."""
+    return verdicts.groupBy(*[c for c in verdicts.columns if c != verdict]).agg(F.bool_and(verdict).alias(verdict))
+
+
 def _by_running_total(keyed: DataFrame, steady: bool) -> DataFrame:
     """Admit while the running total, this request included, stays within the quota.
 
@@ -162,7 +168,7 @@ def _by_running_total(keyed: DataFrame, steady: bool) -> DataFrame:
     )
     before = totals_before(sums, _GROUP, "_slice", "_amount")
     contested = stored(before.filter("_before + _amount > _low").select(*at, "_before", "_high"), "contested")
-    inside = W.partitionBy(*at).orderBy("_ts", "_seq").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*at).orderBy("_ts", "_seq", "_cost").rowsBetween(W.unboundedPreceding, 0)
     crossing = _prefixed(contested.filter("_before <= _high"), "_c", at, "_before")
     verdicts = narrow.join(crossing, _on(at, "_c")).withColumn(
         "_fits", F.col("_before") + F.sum("_cost").over(inside) <= F.col("_quota")
@@ -186,9 +192,9 @@ def _by_running_total(keyed: DataFrame, steady: bool) -> DataFrame:
     mixed = slices.filter("_mixed").select(*["_s" + c for c in at])
     if steady or mixed.isEmpty():
         return decided
-    row = [*_GROUP, "_ts", "_seq"]
+    row = [*_GROUP, "_ts", "_seq", "_cost"]
     exact = _prefixed(verdicts.join(mixed, _on(at, "_s"), "left_semi"), "_r", row, "_fits")
-    return decided.join(stored(exact, "verdicts"), _on(row, "_r"), "left").withColumn(
+    return decided.join(stored(_shared(exact, "_fits"), "verdicts"), _on(row, "_r"), "left").withColumn(
         "admitted", F.coalesce("_fits", "admitted")
     )
 
@@ -234,8 +240,8 @@ def _by_refill(keyed: DataFrame, steady: bool, carry: bool) -> DataFrame:
     )
     if steady or moving.isEmpty():
         return decided
-    replayed = stored(_replay(narrow, moving, carry), "replayed")
-    row = [*_GROUP, "_ts", "_seq"]
+    replayed = stored(_shared(_replay(narrow, moving, carry), "_radmitted"), "replayed")
+    row = [*_GROUP, "_ts", "_seq", "_cost"]
     return decided.join(replayed, _on(row, "_r"), "left").withColumn(
         "admitted", F.coalesce("_radmitted", "admitted")
     )
@@ -305,10 +311,10 @@ def _replay(narrow: DataFrame, moving: DataFrame, carry: bool) -> DataFrame:
         rows.join(stored(_prefixed(fills, "_p", _GROUP, "_fill"), "fills"), _on(_GROUP, "_p"))
         .select(*_GROUP, "_ts", "_seq", "_cost", "_quota", "_fill")
         .repartition(*_GROUP)
-        .sortWithinPartitions(*_GROUP, "_ts", "_seq")
+        .sortWithinPartitions(*_GROUP, "_ts", "_seq", "_cost")
     )
     out = T.StructType(
-        [T.StructField("_r" + f.name, f.dataType) for f in ordered.schema.fields if f.name in (*_GROUP, "_ts", "_seq")]
+        [T.StructField("_r" + f.name, f.dataType) for f in ordered.schema.fields if f.name in (*_GROUP, "_ts", "_seq", "_cost")]
         + [T.StructField("_radmitted", T.BooleanType())]
     )
 
@@ -328,7 +334,7 @@ def _replay(narrow: DataFrame, moving: DataFrame, carry: bool) -> DataFrame:
                 admitted.append(cost <= left)
                 if cost <= left:
                     left -= cost
-            frame = batch[["_key", "_win", "_ts", "_seq"]].add_prefix("_r")
+            frame = batch[["_key", "_win", "_ts", "_seq", "_cost"]].add_prefix("_r")
             frame["_radmitted"] = admitted
             yield frame
 

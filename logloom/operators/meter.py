@@ -14,13 +14,19 @@ from logloom.operators.quantiles import exact_quantiles
 QUANTILES = (0.5, 0.9, 0.99)
 
 
-def _keys(labels: list[str], every: str | None, ts: str) -> list:
-    return [*labels, F.window(ts, every).start.alias("window_start")] if every else list(labels)
+def _grouped(df: DataFrame, labels: list[str], every: str | None, ts: str, *measures: Column) -> DataFrame:
+    """Measures by label and, with ``every``, by window. A stream with a watermark is grouped by the
+    window itself, which tells Spark when a group is complete."""
+    if not every:
+        return df.groupBy(*labels).agg(*measures)
+    made = df.groupBy(*labels, F.window(ts, every).alias("_w")).agg(*measures)
+    rest = [c for c in made.columns if c not in labels and c != "_w"]
+    return made.select(*labels, F.col("_w.start").alias("window_start"), *rest)
 
 
 def count_by(df: DataFrame, *labels: str, name: str = "n", every: str | None = None, ts: str = "ts") -> DataFrame:
     """Events per label (messages read or stored, documents, errors, throughput)."""
-    return df.groupBy(*_keys(list(labels), every, ts)).agg(F.count("*").alias(name))
+    return _grouped(df, list(labels), every, ts, F.count("*").alias(name))
 
 
 def sum_by(
@@ -28,7 +34,7 @@ def sum_by(
 ) -> DataFrame:
     """Sum of an amount per label (bytes ingested, refused records or bytes)."""
     value = F.col(amount) if isinstance(amount, str) else amount
-    return df.groupBy(*_keys(list(labels), every, ts)).agg(F.sum(value).alias(name))
+    return _grouped(df, list(labels), every, ts, F.sum(value).alias(name))
 
 
 def latency_by(
@@ -42,8 +48,7 @@ def latency_by(
         return exact_quantiles(df, value, [*labels, "window_start"] if every else list(labels), QUANTILES, accuracy)
     quantiles = F.percentile_approx(value, list(QUANTILES), accuracy)
     return (
-        df.groupBy(*_keys(list(labels), every, ts))
-        .agg(quantiles.alias("_q"), F.count(value).alias("n"), F.sum(value).alias("total"))
+        _grouped(df, list(labels), every, ts, quantiles.alias("_q"), F.count(value).alias("n"), F.sum(value).alias("total"))
         .select("*", *[F.col("_q")[i].alias(f"p{round(q * 100)}") for i, q in enumerate(QUANTILES)])
         .drop("_q")
     )
@@ -51,22 +56,31 @@ def latency_by(
 
 def app_usage(df: DataFrame, secret: str = "app_secret", ok: str = "ok", every: str | None = None, ts: str = "ts") -> DataFrame:
     """Records stored and failed per application secret."""
-    return df.groupBy(*_keys([secret], every, ts)).agg(
-        F.count_if(F.col(ok)).alias("success"), F.count_if(~F.col(ok)).alias("fail")
-    )
+    return _grouped(df, [secret], every, ts, F.count_if(F.col(ok)).alias("success"), F.count_if(~F.col(ok)).alias("fail"))
 
 
-def usage_report(df: DataFrame, secret: str = "app_secret", ok: str = "ok", every: str = "30 seconds", ts: str = "ts") -> DataFrame:
+def usage_report(
+    df: DataFrame, secret: str = "app_secret", ok: str = "ok", every: str = "30 seconds", ts: str = "ts", empty: bool = False
+) -> DataFrame:
     """One JSON report per interval: new records per application secret.
 
-    Counting comes first, so a report gathers one entry per application, never log rows.
+    Counting comes first, so a report gathers one entry per application, never log rows. With ``empty``
+    (batch only) the intervals without records between the first and the last report too.
     """
-    counted = app_usage(df, secret, ok, every, ts)
-    entry = F.struct(F.col(secret).alias("token"), F.col("success").alias("new_log_count"))
-    groups = F.array_sort(F.collect_list(entry))
-    return counted.groupBy("window_start").agg(
-        F.to_json(F.struct(groups.alias("application_groups"))).alias("report")
-    )
+    counted = df.groupBy(secret, F.window(ts, every).alias("_w")).agg(F.count_if(F.col(ok)).alias("new_log_count"))
+    entry = F.struct(F.col(secret).alias("token"), "new_log_count")
+    groups = F.array_sort(F.collect_list(entry)).alias("application_groups")
+    reports = (
+        counted.groupBy(F.window(F.window_time("_w"), every).alias("_v")).agg(F.to_json(F.struct(groups)).alias("report"))
+        .select(F.col("_v.start").alias("window_start"), "report")
+    )
+    if not empty:
+        return reports
+    ends = df.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).select(F.explode(F.array("a", "b")).alias("t"))
+    starts = ends.select(F.window("t", every).start.alias("t")).agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    intervals = starts.select(F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {every}"))).alias("window_start"))
+    nothing = F.lit('{"application_groups":[]}')
+    return intervals.join(reports, "window_start", "left").withColumn("report", F.coalesce("report", nothing))
 
 
 def secrets_seen(df: DataFrame, secret: str = "app_secret") -> DataFrame:

@@ -50,6 +50,21 @@ def from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """What a stream wrote until its source had nothing more."""
+    out = scratch(spark, name)
+    (
+        stream.writeStream.format("parquet").option("path", f"{out}/rows")
+        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    )
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
 def logs(spark: SparkSession, sf: str) -> DataFrame:
     return from_events(table(spark, sf, "events"))
 

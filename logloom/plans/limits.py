@@ -86,6 +86,25 @@ def limit_window_counter(spark, sf):
     return _verdicts(admit(i.requests(spark, sf), cost="cost", policy="counter", **ARGS))
 
 
+# Repeated requests, and some without a time or a cost: every row keeps its place in the result.
+@query(
+    "limit_dirty",
+    f"""WITH {i.REQUESTS}, dirty AS (
+      SELECT event_id, key, max_tps, CASE WHEN event_id % 13 <> 5 THEN arrival_us END AS at_us, CASE WHEN event_id % 11 <> 3 THEN cost END AS cost
+      FROM requests, (VALUES (0), (1)) c(copy) WHERE copy = 0 OR event_id % 7 = 0),
+    o AS (SELECT *, at_us - at_us % {WIDTH} AS window_us FROM dirty)
+    SELECT event_id, key, window_us, at_us IS NOT NULL AND cost IS NOT NULL AND sum(coalesce(cost, 0)) OVER (
+      PARTITION BY key, window_us ORDER BY at_us, event_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= max_tps * {SECONDS} AS admitted FROM o""",
+)
+def limit_dirty(spark, sf):
+    n = F.col("event_id")
+    copies = F.when(n % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    dirty = i.requests(spark, sf).withColumns(
+        {"arrival": F.when(n % 13 != 5, F.col("arrival")), "cost": F.when(n % 11 != 3, F.col("cost")), "copy": F.explode(copies)}
+    )
+    return _verdicts(admit(dirty, cost="cost", policy="counter", **ARGS))
+
+
 def _first_hit(rest: str, admitted: str, start: str) -> str:
     """Fold over a key's requests; a window opens at the first hit after the last one expired."""
     return f"""WITH RECURSIVE {i.REQUESTS}, o AS (
@@ -145,14 +164,6 @@ def stream_admit(spark, sf):
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
-    schema = i.table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    verdicts = admit_stream(
-        i.requests_of(i.from_events(events)), ts="arrival", seq="event_id", cost="cost", window_seconds=SECONDS
-    )
-    out = i.scratch(spark, "stream-admit")
-    (
-        verdicts.writeStream.format("parquet").option("path", f"{out}/verdicts")
-        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    )
-    return spark.read.parquet(f"{out}/verdicts").select(F.col("seq").alias("event_id"), "key", "admitted")
+    requests = i.requests_of(i.from_events(i.event_stream(spark, sf)))
+    verdicts = admit_stream(requests, ts="arrival", seq="event_id", cost="cost", window_seconds=SECONDS)
+    return i.drained(spark, verdicts, "stream-admit").select(F.col("seq").alias("event_id"), "key", "admitted")

@@ -129,18 +129,43 @@ def m_latency(spark, sf):
 
 @query(
     "m_errors",
-    f"""WITH {i.LOGS} SELECT CASE event_id % 3 WHEN 0 THEN 'gcs_buffer_full: ' || topic WHEN 1 THEN 'kafka_admin_refresh_topics'
-    ELSE 'spawn_logs_worker_' || topic END AS operation, count(*) AS n FROM logs WHERE event_type = 'error' GROUP BY ALL""",
+    f"""WITH {i.LOGS} SELECT CASE event_id % 5 WHEN 0 THEN 'gcs_buffer_full: ' || topic WHEN 1 THEN 'kafka_admin_refresh_topics'
+    WHEN 2 THEN 'spawn_logs_worker_' || topic ELSE 'es_client' END AS operation,
+    CASE event_id % 5 WHEN 3 THEN 'init' WHEN 4 THEN 'retry' ELSE '' END AS phase, count(*) AS n FROM logs GROUP BY ALL""",
 )
 def m_errors(spark, sf):
     n, topic = F.col("event_id"), F.col("topic")
     operation = (
-        F.when(n % 3 == 0, F.concat(F.lit("gcs_buffer_full: "), topic))
-        .when(n % 3 == 1, F.lit("kafka_admin_refresh_topics"))
-        .otherwise(F.concat(F.lit("spawn_logs_worker_"), topic))
+        F.when(n % 5 == 0, F.concat(F.lit("gcs_buffer_full: "), topic))
+        .when(n % 5 == 1, F.lit("kafka_admin_refresh_topics"))
+        .when(n % 5 == 2, F.concat(F.lit("spawn_logs_worker_"), topic))
+        .otherwise(F.lit("es_client"))
     )
-    failures = i.logs(spark, sf).filter("context.kafka_topic = 'error'")
-    return meter.count_by(failures.withColumn("operation", operation), "operation")
+    phase = F.when(n % 5 == 3, F.lit("init")).when(n % 5 == 4, F.lit("retry")).otherwise("")
+    return meter.count_by(i.logs(spark, sf).withColumns({"operation": operation, "phase": phase}), "operation", "phase")
+
+
+@query(
+    "m_index_created",
+    f"""WITH {i.LOGS}, d AS (SELECT es_index_prefix || '-' || strftime(ts, '%Y.%m.%d') AS index_name, max(event_id) AS last FROM logs GROUP BY ALL)
+    SELECT CASE WHEN last % 4 = 0 THEN 'fail' ELSE 'success' END AS event, count(*) AS n FROM d GROUP BY ALL""",
+)
+def m_index_created(spark, sf):
+    """Each daily index is created once, when its first document comes."""
+    named = i.logs(spark, sf).withColumn("index_name", index_name(F.col("context.es_index_prefix"), F.col("ts")))
+    created = named.groupBy("index_name").agg(F.max("event_id").alias("last"))
+    return meter.count_by(created.withColumn("event", F.when(F.col("last") % 4 == 0, "fail").otherwise("success")), "event")
+
+
+@query(
+    "m_convert_error_by_topic",
+    f"""WITH {i.MESSAGES} SELECT label, count(*) AS n FROM (
+      SELECT topic || '_' || error AS label FROM documented WHERE error IS NOT NULL
+      UNION ALL SELECT topic || '_Protobuf Parse Error' FROM logs WHERE event_id % 10 = 9) GROUP BY label""",
+)
+def m_convert_error_by_topic(spark, sf):
+    _, failed = split_errors(flows.to_index(i.messages(spark, sf), {}))
+    return meter.count_by(failed.select(F.concat_ws("_", "topic", "error").alias("label")), "label")
 
 
 @query("m_secrets", "SELECT DISTINCT user_id::VARCHAR AS app_secret FROM events")
@@ -149,7 +174,11 @@ def m_secrets(spark, sf):
 
 
 def _stores(spark, sf):
-    return i.logs(spark, sf).select("arrival", "context.app_secret", (F.col("event_id") % 9 != 0).alias("ok"))
+    return _stores_of(i.logs(spark, sf))
+
+
+def _stores_of(logs):
+    return logs.select("arrival", "context.app_secret", (F.col("event_id") % 9 != 0).alias("ok"))
 
 
 @query(
@@ -161,20 +190,56 @@ def m_app_usage(spark, sf):
     return meter.app_usage(_stores(spark, sf))
 
 
-@query(
-    "usage_report",
-    f"""WITH {i.LOGS}, c AS (
+_REPORTS = f"""{i.LOGS}, c AS (
       SELECT arrival_us - arrival_us % 30000000 AS window_us, user_id::VARCHAR AS token, count(*) FILTER (event_id % 9 <> 0) AS new_log_count
-      FROM logs GROUP BY ALL)
-    SELECT window_us, CAST(to_json({{'application_groups': list({{'token': token, 'new_log_count': new_log_count}} ORDER BY token)}}) AS VARCHAR) AS report
-    FROM c GROUP BY window_us""",
-)
+      FROM logs GROUP BY ALL),
+    reports AS (
+      SELECT window_us, CAST(to_json({{'application_groups': list({{'token': token, 'new_log_count': new_log_count}} ORDER BY token)}}) AS VARCHAR) AS report
+      FROM c GROUP BY window_us)"""
+
+
+@query("usage_report", f"WITH {_REPORTS} SELECT window_us, report FROM reports")
 def usage_report(spark, sf):
     return meter.usage_report(_stores(spark, sf), ts="arrival").select(
         F.unix_micros("window_start").alias("window_us"), "report"
     )
 
 
+@query(
+    "usage_report_empty",
+    f"""WITH {_REPORTS}, every AS (SELECT unnest(generate_series(min(window_us), max(window_us), 30000000)) AS window_us FROM reports)
+    SELECT window_us, coalesce(report, '{{"application_groups":[]}}') AS report FROM every LEFT JOIN reports USING (window_us)""",
+)
+def usage_report_empty(spark, sf):
+    return meter.usage_report(_stores(spark, sf), ts="arrival", empty=True).select(
+        F.unix_micros("window_start").alias("window_us"), "report"
+    )
+
+
+# A stream gives the windows that its watermark has passed: the latest time, in milliseconds, less the lateness.
+def _closed(width: int, late: int, time: str) -> str:
+    return f"window_us + {width} <= (SELECT max({time}) // 1000 * 1000 FROM logs) - {late}"
+
+
+@query("stream_usage_report", f"WITH {_REPORTS} SELECT window_us, report FROM reports WHERE {_closed(30_000_000, 60_000_000, 'arrival_us')}")
+def stream_usage_report(spark, sf):
+    stores = _stores_of(i.from_events(i.event_stream(spark, sf))).withWatermark("arrival", "1 minute")
+    reports = i.drained(spark, meter.usage_report(stores, ts="arrival"), "usage")
+    return reports.select(F.unix_micros("window_start").alias("window_us"), "report")
+
+
+@query(
+    "stream_meter",
+    f"""WITH {i.LOGS}, c AS (
+      SELECT topic, epoch_us(ts) - epoch_us(ts) % 3600000000 AS window_us, CAST(sum(strlen(props)) AS BIGINT) AS bytes FROM logs GROUP BY ALL)
+    SELECT * FROM c WHERE {_closed(3_600_000_000, 3_600_000_000, "epoch_us(ts)")}""",
+)
+def stream_meter(spark, sf):
+    logs = i.from_events(i.event_stream(spark, sf)).withWatermark("ts", "1 hour")
+    summed = i.drained(spark, meter.sum_by(logs, F.octet_length("content"), "topic", name="bytes", every="1 hour"), "meter")
+    return summed.select("topic", F.unix_micros("window_start").alias("window_us"), "bytes")
+
+
 @query("m_tps", f"WITH {i.LOGS} SELECT arrival_us - arrival_us % 1000000 AS window_us, count(*) AS n FROM logs GROUP BY ALL")
 def m_tps(spark, sf):
     counted = meter.count_by(i.logs(spark, sf), every="1 second", ts="arrival")

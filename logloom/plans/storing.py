@@ -83,35 +83,29 @@ def sink_index(spark, sf):
     return _counted(spark.read.parquet(out))
 
 
-def _message_stream(spark, sf):
-    schema = i.table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return i.messages(events)
-
-
 @query("stream_index", _INDEX_COUNTS)
 def stream_index(spark, sf):
     out = i.scratch(spark, "stream-index")
     streaming.index_stream(
-        _message_stream(spark, sf), f"{out}/index", f"{out}/dead", f"{out}/checkpoint", INDEX_RULES, clock=F.col("ts")
+        i.messages(i.event_stream(spark, sf)), f"{out}/index", f"{out}/dead", f"{out}/checkpoint", INDEX_RULES, clock=F.col("ts")
     ).awaitTermination()
     return _counted(spark.read.parquet(f"{out}/index"))
 
 
-_ARCHIVED = f"""SELECT topic, CAST({_K} AS BIGINT) AS k, count(*) AS n FROM documented WHERE content IS NOT NULL AND content <> '[7]' GROUP BY ALL"""
+_ARCHIVED = f"""SELECT topic, content = '[7]' AS listed, CAST({_K} AS BIGINT) AS k, count(*) AS n FROM documented WHERE content IS NOT NULL GROUP BY ALL"""
 
 
-@query("archive_flow", f"WITH {i.MESSAGES} SELECT event_id, position, topic, CAST({_K} AS BIGINT) AS k FROM documented WHERE content IS NOT NULL AND content <> '[7]'")
+@query("archive_flow", f"WITH {i.MESSAGES} SELECT event_id, position, topic, CAST({_K} AS BIGINT) AS k, content = '[7]' AS listed FROM documented WHERE content IS NOT NULL")
 def archive_flow(spark, sf):
     made = flows.to_archive(i.messages(spark, sf), simple=False)
-    return made.filter("error IS NULL AND line <> '[7]'").select(
-        "event_id", "position", "topic", F.get_json_object("line", "$.k").cast("long").alias("k")
+    return made.filter("error IS NULL").select(
+        "event_id", "position", "topic", F.get_json_object("line", "$.k").cast("long").alias("k"), (F.col("line") == "[7]").alias("listed")
     )
 
 
 def _archived(lines):
-    found = lines.filter("value <> '[7]'").select("topic", F.get_json_object("value", "$.k").cast("long").alias("k"))
-    return found.groupBy("topic", "k").agg(F.count("*").alias("n"))
+    found = lines.select("topic", F.get_json_object("value", "$.k").cast("long").alias("k"), (F.col("value") == "[7]").alias("listed"))
+    return found.groupBy("topic", "listed", "k").agg(F.count("*").alias("n"))
 
 
 @query("sink_archive", f"WITH {i.MESSAGES} {_ARCHIVED}")
@@ -125,10 +119,28 @@ def sink_archive(spark, sf):
 @query("stream_archive", f"WITH {i.MESSAGES} {_ARCHIVED}")
 def stream_archive(spark, sf):
     out = i.scratch(spark, "stream-archive")
-    streaming.archive_stream(_message_stream(spark, sf), f"{out}/lines", f"{out}/checkpoint", simple=False).awaitTermination()
+    streaming.archive_stream(i.messages(i.event_stream(spark, sf)), f"{out}/lines", f"{out}/checkpoint", simple=False).awaitTermination()
     return _archived(spark.read.text(f"{out}/lines"))
 
 
+@query(
+    "stream_archive_failures",
+    f"""WITH {i.MESSAGES}, every AS (
+      SELECT topic, CASE WHEN content IS NULL THEN 'Timber Content Missing Error' END AS error FROM documented
+      UNION ALL SELECT topic, 'Protobuf Parse Error' FROM logs WHERE event_id % 10 = 9)
+    SELECT topic, error, count(*) AS n FROM every GROUP BY ALL""",
+)
+def stream_archive_failures(spark, sf):
+    """Every record of the stream is in the archive or in the dead-letter table."""
+    out = i.scratch(spark, "stream-archive")
+    streaming.archive_stream(
+        i.messages(i.event_stream(spark, sf)), f"{out}/lines", f"{out}/checkpoint", simple=False, dead_letters=f"{out}/dead"
+    ).awaitTermination()
+    lines = spark.read.text(f"{out}/lines").select("topic", F.lit(None).cast("string").alias("error"))
+    dead = spark.read.parquet(f"{out}/dead").select("topic", "error")
+    return lines.unionByName(dead).groupBy("topic", "error").agg(F.count("*").alias("n"))
+
+
 # A batch is a user's turns of conversation; its cost is the number of its items.
 _PRODUCED = f"""b AS (
   SELECT conv_id, conv_id % 4 AS app, conv_id * 500000 AS at_us, count(*) AS cost, 1 + conv_id % 4 AS max_tps FROM conversations GROUP BY conv_id),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from logloom.operators.meter import count_by
 from logloom.plans.flows import to_archive, to_index
 from logloom.sinks.tables import write_archive, write_dead_letters, write_index
 
@@ -76,12 +77,7 @@ def archive_stream(
 
 def count_stream(logs: DataFrame, *labels: str, every: str = "1 hour", ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Windowed counts on a stream; a window is emitted once the watermark has passed it."""
-    return (
-        logs.withWatermark(ts, late)
-        .groupBy(*labels, F.window(ts, every).alias("_w"))
-        .agg(F.count("*").alias("n"))
-        .select(*labels, F.col("_w.start").alias("window_start"), "n")
-    )
+    return count_by(logs.withWatermark(ts, late), *labels, every=every, ts=ts)
 
 
 def topic_stream(logs: DataFrame, topic: str = "topic") -> DataFrame:

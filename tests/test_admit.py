@@ -108,6 +108,17 @@ def test_golden_cases(spark):
     assert golden(spark, [("k", n, 2, 6) for n in range(5)], policy="counter") == [True] * 3 + [False] * 2
 
 
+@pytest.mark.parametrize("anchor", ["tick", "first_hit"])
+@pytest.mark.parametrize("policy", ["refill", "counter"])
+@pytest.mark.parametrize("quota", [lambda n: 3, lambda n: 1 + n // 30 % 4 * 2], ids=["steady", "moving"])
+def test_repeated_requests_are_kept_and_share_a_verdict(spark, anchor, policy, quota):
+    rows = [(k, t, s, c, quota(s)) for k, t, s, c, _ in requests(17, count=300)]
+    rows += [r for r in rows if r[2] % 3 == 0] + [r for r in rows if r[2] % 6 == 0]
+    decided = admit(spark.createDataFrame(rows, SCHEMA), cost="cost", window_seconds=5, policy=policy, anchor=anchor).collect()
+    assert sorted(r.seq for r in decided) == sorted(r[2] for r in rows)
+    assert len({(r.seq, r.admitted) for r in decided}) == 300
+
+
 def test_limiter_names():
     assert limiter(" local ") == {"policy": "refill", "anchor": "tick"}
     assert limiter("Redis") == {"policy": "counter", "anchor": "first_hit"}

@@ -190,15 +190,16 @@ def m_app_usage(spark, sf):
     return meter.app_usage(_stores(spark, sf))
 
 
-_REPORTS = f"""{i.LOGS}, c AS (
-      SELECT arrival_us - arrival_us % 30000000 AS window_us, user_id::VARCHAR AS token, count(*) FILTER (event_id % 9 <> 0) AS new_log_count
+def _reports(width: int) -> str:
+    return f"""{i.LOGS}, c AS (
+      SELECT arrival_us - arrival_us % {width} AS window_us, user_id::VARCHAR AS token, count(*) FILTER (event_id % 9 <> 0) AS new_log_count
       FROM logs GROUP BY ALL),
     reports AS (
       SELECT window_us, CAST(to_json({{'application_groups': list({{'token': token, 'new_log_count': new_log_count}} ORDER BY token)}}) AS VARCHAR) AS report
       FROM c GROUP BY window_us)"""
 
 
-@query("usage_report", f"WITH {_REPORTS} SELECT window_us, report FROM reports")
+@query("usage_report", f"WITH {_reports(30_000_000)} SELECT window_us, report FROM reports")
 def usage_report(spark, sf):
     return meter.usage_report(_stores(spark, sf), ts="arrival").select(
         F.unix_micros("window_start").alias("window_us"), "report"
@@ -207,11 +208,12 @@ def usage_report(spark, sf):
 
 @query(
     "usage_report_empty",
-    f"""WITH {_REPORTS}, every AS (SELECT unnest(generate_series(min(window_us), max(window_us), 30000000)) AS window_us FROM reports)
+    f"""WITH {_reports(100_000)}, every AS (SELECT unnest(generate_series(min(window_us), max(window_us), 100000)) AS window_us FROM reports)
     SELECT window_us, coalesce(report, '{{"application_groups":[]}}') AS report FROM every LEFT JOIN reports USING (window_us)""",
 )
 def usage_report_empty(spark, sf):
-    return meter.usage_report(_stores(spark, sf), ts="arrival", empty=True).select(
+    """Short intervals, so that some have no record."""
+    return meter.usage_report(_stores(spark, sf), ts="arrival", every="100 milliseconds", empty=True).select(
         F.unix_micros("window_start").alias("window_us"), "report"
     )
 
@@ -221,7 +223,7 @@ def _closed(width: int, late: int, time: str) -> str:
     return f"window_us + {width} <= (SELECT max({time}) // 1000 * 1000 FROM logs) - {late}"
 
 
-@query("stream_usage_report", f"WITH {_REPORTS} SELECT window_us, report FROM reports WHERE {_closed(30_000_000, 60_000_000, 'arrival_us')}")
+@query("stream_usage_report", f"WITH {_reports(30_000_000)} SELECT window_us, report FROM reports WHERE {_closed(30_000_000, 60_000_000, 'arrival_us')}")
 def stream_usage_report(spark, sf):
     stores = _stores_of(i.from_events(i.event_stream(spark, sf))).withWatermark("arrival", "1 minute")
     reports = i.drained(spark, meter.usage_report(stores, ts="arrival"), "usage")

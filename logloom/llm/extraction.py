@@ -46,15 +46,20 @@ BOILERPLATE = frozenset(
 CONTAINERS = frozenset("article main div section td body blockquote center li ul ol table".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+#: Words that only say where a marked element stands: site-header, comments-area.
+PLACES = frozenset("site area left right top bottom wrapper container bar posts buttons".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What shows that an element holds the main text, whatever it is called.
+HOLDERS = frozenset("article main h1".split())
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "parts", "dropped", "hidden")
+    __slots__ = ("tag", "name", "parent", "parts", "dropped", "marked")
 
-    def __init__(self, tag: str, name: str, parent, dropped: bool):
-        self.tag, self.name, self.parent, self.dropped = tag, name, parent, dropped
+    def __init__(self, tag: str, name: str, parent, dropped: bool, marked: bool = False):
+        self.tag, self.name, self.parent, self.dropped, self.marked = tag, name, parent, dropped, marked
         self.parts: list = []  # texts and nodes in page order
 
     def path(self) -> str:
@@ -70,14 +75,60 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _marked(attributes: dict[str, str]) -> bool:
-    named = " ".join(attributes.get(a, "") for a in ("class", "id", "role"))
-    return any(p.lower() in BOILERPLATE for p in _NAME_PARTS.findall(named))
+    """Whether a whole name is boilerplate: ids as they stand, classes and roles also with places or more marks."""
+    if attributes.get("id", "").strip().lower() in BOILERPLATE:
+        return True
+    for named in f"{attributes.get('class', '')} {attributes.get('role', '')}".split():
+        parts = [p.lower() for p in _NAME_PARTS.findall(named)]
+        if any(p in BOILERPLATE for p in parts) and all(p in BOILERPLATE or p in PLACES for p in parts):
+            return True
+    return False
+
+
+def _settle(root: Node) -> None:
+    """Drops the marked elements, but none that holds an article, main or h1 or most of the page's text.
+
+    Most is over three quarters of the text outside links; it does not save an element beside an article
+    or main with text of its own.
+    """
+    order: list[Node] = []
+    amounts: dict[int, int] = {}
+    todo: list[tuple[Node, bool]] = [(root, False)]
+    while todo:
+        node, linked = todo.pop()
+        if node.dropped:
+            continue
+        linked = linked or node.tag == "a"
+        order.append(node)
+        amounts[id(node)] = 0 if linked else sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        todo.extend((p, linked) for p in reversed(node.parts) if not isinstance(p, str))
+    holders: set[int] = set()
+    for node in reversed(order[1:]):
+        amounts[id(node.parent)] += amounts[id(node)]
+        if node.tag in HOLDERS or id(node) in holders:
+            holders.add(id(node.parent))
+    articles = []
+    for node in order:
+        if node.tag in ("article", "main") and amounts[id(node)]:
+            up = node
+            while up.tag and not up.marked:
+                up = up.parent
+            if not up.tag:
+                articles.append(node)
+    for node in order:
+        if node.marked and id(node) not in holders:
+            around, up = set(), node
+            while up.tag:
+                around.add(id(up))
+                up = up.parent
+            node.dropped = amounts[id(node)] * 4 <= amounts[id(root)] * 3 or any(id(a) not in around for a in articles)
 
 
 def parse(page: str) -> Node:
     """The page's tree. Unclosed and stray tags are mended as far as blocks need it; nothing raises."""
     root = at = Node("", "", None, False)
     depth_of: dict[str, int] = {}
+    doubtful = False
     position, end = 0, len(page)
     while position < end:
         m = _TOKEN.search(page, position)
@@ -119,13 +170,15 @@ def parse(page: str) -> Node:
         if kind := attributes.get("class", "").split():
             name += "." + _DIGITS.sub("#", kind[0].lower())
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
-        dropped = tag in DROPPED or hidden or tag not in ("html", "body", "article", "main") and _marked(attributes)
+        dropped = tag in DROPPED or hidden
+        marked = not dropped and tag not in ("html", "body", "article", "main") and tag not in HEADINGS and _marked(attributes)
         if tag == "header":  # a site's header; an article's own holds its title
             up = at
             while up.tag and up.tag not in ("article", "main"):
                 up = up.parent
             dropped = dropped or not up.tag
-        node = Node(tag, name, at, dropped)
+        node = Node(tag, name, at, dropped, marked)
+        doubtful = doubtful or marked
         at.parts.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, position)
@@ -133,6 +186,8 @@ def parse(page: str) -> Node:
         elif tag not in VOID and not m[4]:
             at = node
             depth_of[tag] = depth_of.get(tag, 0) + 1
+    if doubtful:
+        _settle(root)
     return root
 
 
@@ -174,24 +229,26 @@ def blocks(node: Node) -> list[str]:
 def containers(root: Node) -> list[tuple[Node, float]]:
     """Candidate containers with their scores, in page order.
 
-    A paragraph's text without links counts fully for its nearest container and half for the next one up.
+    A paragraph's text without links counts fully for its nearest container and half for the next one up;
+    inside a kept element with the name of boilerplate it counts half.
     """
     scores: dict[int, float] = {}
     nodes: dict[int, Node] = {}
-    todo: list[tuple[Node, list[Node], bool]] = [(root, [], False)]
+    todo: list[tuple[Node, list[Node], bool, float]] = [(root, [], False, 1.0)]
     while todo:
-        node, around, linked = todo.pop()
+        node, around, linked, weight = todo.pop()
         if node.dropped:
             continue
         linked = linked or node.tag == "a"
+        weight = 0.5 if node.marked else weight
         if node.tag in CONTAINERS:
             nodes[id(node)] = node
             scores.setdefault(id(node), 0.0)
             around = [*around[-1:], node]
         text = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
         for share, container in zip((1.0, 0.5), reversed(around), strict=False):
-            scores[id(container)] += share * text * (-0.5 if linked else 1.0)
-        todo.extend((p, around, linked) for p in reversed(node.parts) if not isinstance(p, str))
+            scores[id(container)] += share * weight * text * (-0.5 if linked else 1.0)
+        todo.extend((p, around, linked, weight) for p in reversed(node.parts) if not isinstance(p, str))
     return [(nodes[i], s * (1.5 if nodes[i].tag in ("article", "main") else 1.0)) for i, s in scores.items()]
 
 

@@ -1,10 +1,11 @@
 """Main text of web pages by consensus host paths.
 
-Every page is parsed into a light tree. Containers are scored by the text of their paragraphs, less
-what stands in links, and named by their generalised path: tags with their first class, digits folded.
-Spark adds up the scores per host and path; the path with the most pages behind it, then the highest
-score, wins its host. Pages are then extracted again from the containers on the winning path; a page
-without such a container, or whose host has none, uses its own best container.
+Every page is parsed into a light tree. Containers are scored by the good text inside them: that of
+their blocks, less what stands in links. A page's best container is the lowest that covers nearly all
+of the page's good text, and it is named by its generalised path: tags with their first class, digits
+folded. Spark adds up the scores per host and path; the path with the most pages behind it, then the
+highest score, wins its host. Pages are then extracted again from the containers on the winning path;
+a page whose own best text is not covered by them, or whose host has none, uses its own best container.
 """
 
 from __future__ import annotations
@@ -43,7 +44,10 @@ BOILERPLATE = frozenset(
     "login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related reply replies "
     "respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar widget widgets complementary contentinfo dialog alert".split()
 )
-CONTAINERS = frozenset("article main div section td body blockquote center li ul ol table".split())
+#: Lists, tables and quotes are parts of a text; their score counts for what holds them.
+CONTAINERS = frozenset("article main div section body center".split())
+#: The share of good text that is nearly all, and that of other text which a title or a lead may bring along.
+NEARLY_ALL, ALONG = 0.9, 0.1
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 #: Words that only say where a marked element stands: site-header, comments-area.
@@ -226,35 +230,91 @@ def blocks(node: Node) -> list[str]:
     return found
 
 
-def containers(root: Node) -> list[tuple[Node, float]]:
-    """Candidate containers with their scores, in page order.
+class Texts:
+    """Of every element: all its text, its good text, and its good text outside the containers in it.
 
-    A paragraph's text without links counts fully for its nearest container and half for the next one up;
-    inside a kept element with the name of boilerplate it counts half.
+    Good text is a block's text outside links less half of that in links, if anything is left; inside a
+    kept element with the name of boilerplate it counts half.
     """
-    scores: dict[int, float] = {}
-    nodes: dict[int, Node] = {}
-    todo: list[tuple[Node, list[Node], bool, float]] = [(root, [], False, 1.0)]
-    while todo:
-        node, around, linked, weight = todo.pop()
-        if node.dropped:
-            continue
-        linked = linked or node.tag == "a"
-        weight = 0.5 if node.marked else weight
-        if node.tag in CONTAINERS:
-            nodes[id(node)] = node
-            scores.setdefault(id(node), 0.0)
-            around = [*around[-1:], node]
-        text = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
-        for share, container in zip((1.0, 0.5), reversed(around), strict=False):
-            scores[id(container)] += share * weight * text * (-0.5 if linked else 1.0)
-        todo.extend((p, around, linked, weight) for p in reversed(node.parts) if not isinstance(p, str))
-    return [(nodes[i], s * (1.5 if nodes[i].tag in ("article", "main") else 1.0)) for i, s in scores.items()]
 
-
-def best_container(root: Node) -> tuple[Node, float] | None:
-    scored = [c for c in containers(root) if c[1] > 0]
-    return max(scored, key=lambda c: c[1]) if scored else None
+    def __init__(self, root: Node):
+        self.order: list[Node] = []  # in page order
+        self.every: dict[int, int] = {}
+        self.good: dict[int, float] = {}
+        self.own: dict[int, float] = {}
+        todo: list[tuple[Node, Node, bool, float]] = [(root, root, False, 1.0)]
+        while todo:
+            node, block, linked, weight = todo.pop()
+            if node.dropped:
+                continue
+            block = node if node.tag in BLOCKS else block
+            linked = linked or node.tag == "a"
+            weight = 0.5 if node.marked else weight
+            self.order.append(node)
+            text = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+            self.every[id(node)] = text
+            self.good.setdefault(id(node), 0.0)
+            self.good[id(block)] += weight * text * (-0.5 if linked else 1.0)
+            todo.extend((p, block, linked, weight) for p in reversed(node.parts) if not isinstance(p, str))
+        for node in self.order:
+            self.own[id(node)] = self.good[id(node)] = max(0.0, self.good[id(node)])
+        for node in reversed(self.order[1:]):
+            up = id(node.parent)
+            self.every[up] += self.every[id(node)]
+            self.good[up] += self.good[id(node)]
+            if node.tag not in CONTAINERS:
+                self.own[up] += self.own[id(node)]
+
+    def titles(self, node: Node) -> list[Node]:
+        """The h1 with text inside the node."""
+        return [n for n in self.order if n.tag == "h1" and self.every[id(n)] and _inside(n, node)]
+
+
+def _inside(node: Node | None, of: Node) -> bool:
+    while node is not None and node is not of:
+        node = node.parent
+    return node is of
+
+
+def best_container(root: Node, texts: Texts | None = None) -> tuple[Node, float] | None:
+    """The container of the main text and its score; the root where the text stands in no other.
+
+    An article or main that covers over half of the good text goes before other containers. A container
+    gives way to one around it that adds the title, or paragraphs of its own, and hardly anything else.
+    """
+    texts = texts or Texts(root)
+    total = texts.good[id(root)]
+    if total <= 0:
+        return None
+    articles = [n for n in texts.order if n.tag in ("article", "main") and texts.good[id(n)] * 2 > total]
+    pool = articles or [n for n in texts.order if n.tag in CONTAINERS or n is root]
+    enough = [n for n in pool if texts.good[id(n)] >= NEARLY_ALL * total]
+    best = enough[-1] if enough else max(reversed(pool), key=lambda n: texts.good[id(n)])
+    inner, up = best, best.parent
+    titled = bool(texts.titles(best))
+    while up is not None:
+        if up.tag in CONTAINERS or up is root:
+            titles = [] if titled else texts.titles(up)
+            lead = 0.0 if articles else texts.own[id(up)]
+            fits = texts.every[id(up)] - texts.every[id(inner)] <= lead + sum(texts.every[id(t)] for t in titles) + ALONG * texts.every[id(inner)]
+            if (titles or lead) and fits:
+                best, inner, titled = up, up, titled or bool(titles)
+        up = up.parent
+    return best, texts.good[id(best)] * (1.5 if best.tag in ("article", "main") else 1.0)
+
+
+def _covers(nodes: list[Node], best: Node, texts: Texts) -> bool:
+    """Whether the nodes hold nearly all of the best container's good text, and its titles.
+
+    Of a body, which is best where a page has no one place for its text, that is the text outside the
+    containers in it: among these the host's path decides.
+    """
+    held = sum(texts.good[id(n)] for n in nodes)
+    whole_page = best.tag in ("", "body")
+    wanted = texts.own[id(best)] + held if whole_page else texts.good[id(best)]
+    if not whole_page:
+        held = sum(texts.good[id(n)] if _inside(n, best) else texts.good[id(best)] for n in nodes if _inside(n, best) or _inside(best, n))
+    return held > 0 and held >= NEARLY_ALL * wanted and all(any(_inside(t, n) for n in nodes) for t in texts.titles(best))
 
 
 def _on_path(root: Node, path: str) -> list[Node]:
@@ -271,12 +331,14 @@ def _on_path(root: Node, path: str) -> list[Node]:
 
 
 def extract(page: str, path: str | None = None) -> str:
-    """The main text: from the containers on ``path`` if the page has text there, else from its best container."""
+    """The main text: from the containers on ``path`` if they cover the page's best text, else from its best container."""
     root = parse(page)
-    found = [b for n in _on_path(root, path) for b in blocks(n)] if path else []
-    if not found:
-        best = best_container(root)
-        found = blocks(best[0] if best else root)
+    texts = Texts(root)
+    best = best_container(root, texts)
+    places = _on_path(root, path) if path else []
+    if best is not None and not (places and _covers(places, best[0], texts)):
+        places = [best[0]]
+    found = [b for n in places or [root] for b in blocks(n)]
     return "\n\n".join(found)
 
 
@@ -291,7 +353,7 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     def run(batches):
         for batch in batches:
             best = [best_container(parse(p)) for p in batch.column(1).to_pylist()]
-            paths = [b[0].path() if b else None for b in best]
+            paths = [b[0].path() or None if b else None for b in best]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array([b[1] if b else 0.0 for b in best], pa.float64())], ["host", "path", "score"])
 
     votes = pages.select(host(F.col(url)).alias("host"), whole(F.col(html)).alias("html")).mapInArrow(run, "host string, path string, score double")

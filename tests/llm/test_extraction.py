@@ -2,7 +2,7 @@
 
 import pytest
 
-from logloom.llm.extraction import extract
+from logloom.llm.extraction import best_container, extract, extract_pages, parse
 
 TEXT = "A paragraph of the article that is long enough to be found. " * 5
 KEPT = {
@@ -31,3 +31,53 @@ def test_boilerplate_inside_and_beside_an_article_goes(name):
     assert extract(f"<body>{box}<article><h1>Title</h1><p>{TEXT}</p></article>{box}</body>") == f"Title\n\n{TEXT.strip()}"
     small = f'<div class="{name}"><p>noise</p></div>'
     assert extract(f"<body><article><h1>Title</h1>{small}<p>{TEXT}</p></article></body>") == f"Title\n\n{TEXT.strip()}"
+
+
+LEAD = "A first paragraph. " * 5
+LONG = "An item of the list that goes on for a while, as long as a paragraph. " * 3
+LAYOUTS = {
+    "list": f"<article><h1>Title</h1><p>{LEAD}</p><ul>{f'<li>{LONG}</li>' * 10}</ul></article>",
+    "table": f"<article><h1>Title</h1><p>{LEAD}</p><table>{f'<tr><td>{LONG}</td><td>{LONG}</td></tr>' * 5}</table></article>",
+    "long cell": f"<article><h1>Title</h1><p>{LEAD}</p><table><tr><td>{LONG * 10}</td></tr></table></article>",
+    "quote": f"<article><h1>Title</h1><p>{LEAD}</p><blockquote><p>{LONG * 10}</p></blockquote></article>",
+    "section": f"<article><h1>Title</h1><section><p>{LEAD}</p></section><section><p>{LONG * 10}</p></section></article>",
+    "body class": f"<article><h1>Title</h1><p>{LEAD}</p><div class=body><p>{LONG * 10}</p></div></article>",
+    "no article": f"<body><div id=wrap><h1>Title</h1><p>{LEAD}</p><div class=body><p>{LONG * 10}</p></div></div></body>",
+    "title in main": f"<main><header><h1>Title</h1></header><article><p>{LEAD}</p><p>{LONG * 10}</p></article></main>",
+    "no body": f"<h1>Title</h1><p>{LEAD}</p><p>{LONG * 10}</p><div>{LEAD}</div>",
+    "table of contents": f"<div><h1>Title</h1><ul>{'<li><a href=/>A link to some place</a></li>' * 200}</ul><p>{LEAD}</p><p>{LONG * 10}</p></div>",
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_no_layout_cuts_the_text(name):
+    found = extract(LAYOUTS[name]).split("\n\n")
+    assert {"Title", LEAD.strip()} <= set(found) and any(LONG.strip() in f for f in found)
+
+
+@pytest.mark.parametrize("part", ("ul", "section.intro", "div.box"))
+def test_a_hosts_path_does_not_cut_a_page(part):
+    tag, _, kind = part.partition(".")
+    inner = f"<{tag} class='{kind}'>" if kind else f"<{tag}>"
+    page = f"<body><article><h1>Title</h1><p>{LONG}</p>{inner}<li>short</li></{tag}></article></body>"
+    whole = extract(page)
+    assert whole.startswith("Title") and LONG.strip() in whole
+    assert extract(page, f"body>article>{part}") == whole
+
+
+def test_consensus_still_picks_among_containers():
+    page = "<body><div class=post><p>The post's text.</p></div><div class=box><p>Another box with rather more text.</p></div></body>"
+    assert extract(page, "body>div.post") == "The post's text."
+
+
+def test_a_host_of_long_lists_keeps_a_normal_article(spark):
+    listed, normal = f"<body>{LAYOUTS['list']}</body>", f"<body><article><h1>Title</h1><p>{LONG}</p><ul><li>short</li></ul></article></body>"
+    pages = spark.createDataFrame([(n, f"http://h.example/{n}", normal if n == 3 else listed) for n in range(4)], "page_id bigint, url string, html string")
+    texts = {r["page_id"]: r["text"] for r in extract_pages(pages).collect()}
+    assert texts == {n: extract(normal if n == 3 else listed) for n in range(4)}
+    assert texts[3] == f"Title\n\n{LONG.strip()}\n\nshort" and LEAD.strip() in texts[0]
+
+
+def test_an_article_goes_before_text_beside_it():
+    page = f"<body><div>{LEAD}</div><article><h1>Title</h1><p>{LONG}</p></article>Stray</body>"
+    assert best_container(parse(page))[0].path() == "body>article"

@@ -22,6 +22,8 @@ from logloom.llm.tokenizing import SpacedEncoder, list_column, per_worker, read_
 
 #: Fixed value: the id that ends a document in the written stream.
 END_ID = 2
+#: Leading characters of a text that order the rows of one key before its hash does.
+ORDER_CHARS = 64
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -57,10 +59,14 @@ def write_token_files(
 ) -> None:
     """Write the files of ``docs`` in ascending key order.
 
-    Null and empty texts hold the end id alone; null keys come first; rows that share a key stay
-    together, ordered by text; an empty table writes no rows; other columns are not written.
+    Null and empty texts hold the end id alone; null keys come first; rows that share a key follow
+    each other, ordered by the head of the text and then its hash, and may fill several files, copies
+    of one row included; an empty table writes no rows; other columns are not written.
     """
-    ordered = docs.select(key, text).repartitionByRange(key).sortWithinPartitions(key, text)
+    t = whole(F.col(text))
+    order = [key, "__head", "__hash", "__row"]
+    placed = docs.select(key, text, t.substr(1, ORDER_CHARS).alias("__head"), F.xxhash64(t).alias("__hash"), F.monotonically_increasing_id().alias("__row"))
+    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = encoded(ordered, tokenizer_path, end_id, key, text).withColumn("part", F.spark_partition_id())
     writer = rows.select(key, "part", "local_start", "n_tokens", "ids").write
     for name, value in {

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontaminate, extraction, fingerprints, license_scan, packing, quality, sharding, simhash, token_counts, token_files
+from logloom.llm import chat, decontaminate, extraction, fingerprints, license_scan, middle, packing, quality, sharding, simhash, token_counts, token_files, whitening
 from logloom.llm.text import documents
 from logloom.session import scratch
 
@@ -57,7 +57,32 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(BYTE_TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_classifier, op3_license_scan, op4_fingerprints, op5_best_fit_packing, op6_html_extraction, op7_simhash_groups, op8_decontamination, op9_sharding, op10_token_counts)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.fill_in_middle(documents(spark, sf_dir))
+    text = middle.restored(F.col("output"), F.col("form"))
+    digests = [F.sha2(c.cast("binary"), 256).alias(f"{name}_sha256") for name, c in (("output", F.col("output")), ("restored", text))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+#: The conversation that the contract adds: texts that look like marks.
+ADDED_CONVERSATION = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(*columns)
+    rows = rows.unionByName(spark.createDataFrame(ADDED_CONVERSATION, rows.schema))
+    records = rows.select(F.to_variant_object(F.struct(*columns)).alias("record"))
+    turns = chat.canonical_turns(records)
+    kind = rows.schema["conv_id"].dataType
+    return chat.digests(chat.format_conversations(turns)).select(F.col("key").cast(kind).alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_classifier, op3_license_scan, op4_fingerprints, op5_best_fit_packing, op6_html_extraction, op7_simhash_groups, op8_decontamination, op9_sharding, op10_token_counts, op11_embedding_whitening, op12_fill_in_middle, op13_chat_formatting)}
 
 #: A document's lower-cased words; chr(92) keeps the pattern's escapes apart from Python's.
 _WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""

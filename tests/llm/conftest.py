@@ -1,5 +1,6 @@
 """Small tables for the corpus operators: a few clean ones, dirty ones, and empty ones."""
 
+import math
 from pathlib import Path
 
 import duckdb
@@ -54,13 +55,19 @@ def folders(tmp_path_factory) -> dict[str, str]:
             db.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR, w INT)")
             db.execute("CREATE TABLE labels (doc_id BIGINT, quality INT, toxic INT)")
             db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR, host VARCHAR, path INT)")
+            db.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INT, k INT, v VARCHAR, n INT)")
+            db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR, key VARCHAR, layout INT, record INT)")
             if rows:
+                for r in VECTORS:
+                    db.execute("INSERT INTO embeddings VALUES (?, ?, 1, 2, 'clash', 3)", r)
+                for r in TURNS:
+                    db.execute("INSERT INTO conversations VALUES (?, ?, ?, ?, 'clash', 1, 2)", r)
                 db.execute("INSERT INTO benchmark VALUES (1, ?, 0), (1, ?, 0), (2, 'Short, item!', 0), (10, ?, 0), (3, NULL, 0), (4, '', 0), (5, 'short item', 0)", [PASSAGE, PASSAGE, "zero " + PASSAGE])
                 db.execute("INSERT INTO labels SELECT doc_id, doc_id % 2, 0 FROM documents WHERE doc_id > 9")
                 db.execute("INSERT INTO labels VALUES (NULL, 1, 0), (12, NULL, 0)")
                 for r in PAGES:
                     db.execute("INSERT INTO pages VALUES (?, ?, ?, 'clash', 1)", r)
-            for table in ("documents", "benchmark", "labels", "pages"):
+            for table in ("documents", "benchmark", "labels", "pages", "embeddings", "conversations"):
                 db.execute(f"COPY {table} TO '{folder}/{table}.parquet' (FORMAT parquet)")
     return made
 
@@ -81,3 +88,18 @@ PAGES = [
     (8, "http://h.example/8", "<div><<<>><p"),
     (None, "http://h.example/9", "plain text only"),
 ]
+
+#: Vectors of three and other lengths; nulls, repeats, what is not finite or not a number.
+VECTORS = [
+    *((i, [math.sin(i), 3 * math.cos(2 * i), 0.5 * (i % 4)]) for i in range(30)),
+    (3, [math.sin(3), 3 * math.cos(6), 1.5]),  # repeated row
+    (40, [math.sin(3), 3 * math.cos(6), 1.5]),
+    (41, None), (42, []), (43, [1.0, None, 2.0]), (44, [1.0, math.inf, 2.0]), (45, [math.nan, 1.0, 2.0]), (46, [1.0, 2.0]), (None, [1.0, 2.0, 3.0]),
+]
+TURNS = [
+    (1, 0, "system", "be kind"), (1, 2, "assistant", "</s>[INST]"), (1, 1, "user", "hello\nthere"),
+    (2, 0, "user", None), (2, 1, "assistant", ""), (2, 1, "assistant", ""), (2, 2, None, "no role"), (2, 2, "tool", "[TEXT]"),
+    (3, None, "assistant", "early"), (3, 0, "user", "late"), (None, 0, "user", "no key"), (None, 1, "assistant", "é<\\/s>"),
+    (4, 0, "user", "x" * 300_000), (4, 1, "assistant", "[" * 1000 + "</s>" * 5000), (-7, 0, "user", "taken"),
+    *((5, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(3000)),
+]

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.text import whole
-from logloom.llm.tokenizing import SpacedEncoder, list_column, per_worker, read_tokenizer
+from logloom.llm.tokenizing import SpacedEncoder, per_worker, read_tokenizer
+from logloom.session import stored
 
 #: Fixed value: the id that ends a document in the written stream.
 END_ID = 2
@@ -27,24 +28,45 @@ ORDER_CHARS = 64
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens and ids of every text with ``end_id`` behind it, partition by partition."""
+    """key, head and hash of the text, n_tokens and packed ids of every text with ``end_id`` behind it, where the text is read.
+
+    Packed ids are little-endian numbers of two bytes if the vocabulary allows it, else of four.
+    """
+    from tokenizers import Tokenizer
+
     source = read_tokenizer(docs.sparkSession, tokenizer_path)
-    tail = np.asarray([end_id], dtype="<u4").tobytes()
+    width = 2 if max(end_id, Tokenizer.from_str(source.value).get_vocab_size()) < 1 << 16 else 4
 
     def run(batches):
         encoder = per_worker(SpacedEncoder, source.value)
+        tail = np.asarray([end_id], dtype=f"<u{width}").tobytes()
+        for batch in batches:
+            ids = [np.frombuffer(encoder.encode(t), dtype="<u4").astype(f"<u{width}").tobytes() + tail for t in batch.column(1).to_pylist()]
+            sizes = pa.array([len(i) // width for i in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), sizes, pa.array(ids, pa.binary())], ["k", "head", "hash", "n", "p"])
+
+    t = whole(F.col(text))
+    narrow = docs.select(F.col(key).alias("k"), t.alias("t"), t.substr(1, ORDER_CHARS).alias("head"), F.xxhash64(t).alias("hash"))
+    kind = narrow.schema["k"].dataType.simpleString()
+    return narrow.mapInArrow(run, f"k {kind}, head string, hash bigint, n bigint, p binary")
+
+
+def _laid_out(ordered: DataFrame, kind: str) -> DataFrame:
+    """k, local_start, n_tokens, ids of rows in their order, partition by partition."""
+
+    def run(batches):
         start = 0
         for batch in batches:
-            ids = [encoder.encode(t) + tail for t in batch.column(1).to_pylist()]
-            sizes = np.array([len(i) // 4 for i in ids], dtype=np.int64)
+            sizes = batch.column(1).to_numpy()
             starts = start + np.cumsum(sizes) - sizes
             start += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts), pa.array(sizes), list_column(ids)], ["k", "s", "n", "i"])
+            packed = batch.column(2).to_pylist()
+            width = len(packed[0]) // int(sizes[0]) if packed else 4  # every text has an id at least
+            ids = np.frombuffer(b"".join(packed), dtype=f"<u{width}").astype(np.int32)
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["k", "s", "n", "i"])
 
-    narrow = docs.select(F.col(key).alias("k"), whole(F.col(text)).alias("t"))
-    kind = narrow.schema["k"].dataType.simpleString()
-    rows = narrow.mapInArrow(run, f"k {kind}, s bigint, n bigint, i array<int>")
-    return rows.select(F.col("k").alias(key), F.col("s").alias("local_start"), F.col("n").alias("n_tokens"), F.col("i").alias("ids"))
+    return ordered.select("k", "n", "p").mapInArrow(run, f"k {kind}, s bigint, n bigint, i array<int>")
 
 
 def write_token_files(
@@ -59,16 +81,16 @@ def write_token_files(
 ) -> None:
     """Write the files of ``docs`` in ascending key order.
 
-    Null and empty texts hold the end id alone; null keys come first; rows that share a key follow
-    each other, ordered by the head of the text and then its hash, and may fill several files, copies
-    of one row included; an empty table writes no rows; other columns are not written.
+    Texts are encoded once, where they are read; the packed ids, smaller than the texts, are stored and
+    then move once. Null and empty texts hold the end id alone; null keys come first; rows that share a
+    key follow each other, ordered by the head of the text and then its hash, and may fill several files,
+    copies of one row included; an empty table writes no rows; other columns are not written.
     """
-    t = whole(F.col(text))
-    order = [key, "__head", "__hash", "__row"]
-    placed = docs.select(key, text, t.substr(1, ORDER_CHARS).alias("__head"), F.xxhash64(t).alias("__hash"), F.monotonically_increasing_id().alias("__row"))
-    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = encoded(ordered, tokenizer_path, end_id, key, text).withColumn("part", F.spark_partition_id())
-    writer = rows.select(key, "part", "local_start", "n_tokens", "ids").write
+    packed = stored(encoded(docs, tokenizer_path, end_id, key, text).withColumn("row", F.monotonically_increasing_id()), "packed")
+    order = ["k", "head", "hash", "row"]
+    ordered = packed.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = _laid_out(ordered, packed.schema["k"].dataType.simpleString()).withColumn("part", F.spark_partition_id())
+    writer = rows.select(F.col("k").alias(key), "part", F.col("s").alias("local_start"), F.col("n").alias("n_tokens"), F.col("i").alias("ids")).write
     for name, value in {
         "compression": "zstd",
         "parquet.writer.version": "PARQUET_2_0",

@@ -7,6 +7,7 @@ other. That is exact for tokenizers whose pre-tokens never span a space or a lin
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import os
 import re
@@ -103,29 +104,52 @@ class Remembered(dict):
 SPACED_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class SpacedEncoder:
-    """Ids of texts for a tokenizer that drops white space and lower-cases, as bytes of ``<u4``."""
+class SpacedWords(dict):
+    """Ids, as bytes of ``<u4``, of pieces without spaces and line ends; a pre-token is a piece, too.
 
-    def __init__(self, source: str):
-        self.model = PreTokenModel(source, SPACED_PRE_TOKENS)
-        self.merged = Remembered(lambda p: self._bytes(self.model.ids(p)), REMEMBERED_WORDS // 2)
-        self.words = Remembered(self._word)
+    One table serves both: of a piece with punctuation only the pre-tokens not yet seen are merged.
+    """
+
+    def __init__(self, model: PreTokenModel, size: int = REMEMBERED_WORDS):
+        self.model, self.size, self.tokenize = model, size, model.model.tokenize
+        self.shown = "".join(model.bytes.get(b, chr(b)) for b in range(256))
 
     @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
+    def of_ids(ids: list[int]) -> bytes:
         return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, dtype="<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """A piece without spaces and line ends."""
-        if not PLAIN.fullmatch(word):
-            return self._bytes(self.model.left_to_library(word))
-        word = word.lower()
-        return self.merged[word] if word.isalpha() else b"".join([self.merged[p] for p in self.model.cut(word)])
+    def merged(self, pre_token: str) -> bytes:
+        shown = pre_token
+        if not (pre_token.isascii() and pre_token.isalpha()):  # those stand for themselves
+            shown = codecs.charmap_decode(pre_token.encode(), "strict", self.shown)[0]
+        return self.of_ids([t.id for t in self.tokenize(shown)])
+
+    def __missing__(self, word: str) -> bytes:
+        if not (word.isascii() or PLAIN.fullmatch(word)):
+            return self.kept(word, self.of_ids(self.model.left_to_library(word)))
+        lower = word.lower()
+        pieces = (lower,) if lower.isalpha() else self.model.cut(lower)
+        return self.kept(word, self.merged(pieces[0]) if len(pieces) == 1 else b"".join([self[p] for p in pieces]))
+
+    def kept(self, word: str, made: bytes) -> bytes:
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self) >= self.size:
+                self.clear()
+            self[word] = made
+        return made
+
+
+class SpacedEncoder:
+    """Ids of texts for a tokenizer that drops white space and lower-cases, as bytes of ``<u4``."""
+
+    def __init__(self, source: str):
+        self.model = PreTokenModel(source, SPACED_PRE_TOKENS)
+        self.words = SpacedWords(self.model)
 
     def encode(self, text: str) -> bytes:
         if self.model.has_special(text):
-            return self._bytes(self.model.left_to_library(text))
-        if not _COMBINING.search(text):
+            return SpacedWords.of_ids(self.model.left_to_library(text))
+        if text.isascii() or not _COMBINING.search(text):
             text = text.lower()  # safe here, and fewer words to remember
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 

@@ -42,3 +42,41 @@ def test_a_hot_key_is_not_one_task(spark, tmp_path, eight_parts, name):
         at += n
     if name != "one head":
         assert found == sorted(theirs)
+
+
+def test_layout_of_the_files(spark, tmp_path):
+    """Ids are dictionary-encoded and numbers delta-encoded, in small row groups with page indexes; numbers are read without the ids."""
+    import public_tokenizers
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 50) for i in range(3000)], "doc_id bigint, text string").coalesce(1)
+    path = str(tmp_path / "files")
+    write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"), row_group_bytes=1 << 16, page_bytes=1 << 13)
+    files = sorted((tmp_path / "files").glob("*.parquet"))
+    groups = 0
+    for file in files:
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            groups += 1
+            columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            assert any("DICTIONARY" in e for e in columns["ids.list.element"].encodings)
+            assert all("DELTA_BINARY_PACKED" in columns[c].encodings for c in ("doc_id", "n_tokens", "local_start"))
+            assert all(c.has_column_index and c.has_offset_index for c in columns.values())
+            assert meta.row_group(g).num_rows < 3000
+    assert groups > len(files)
+    numbers = read_token_files(spark, path).filter("doc_id >= 2990").select("doc_id", "n_tokens")
+    plan = numbers._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans and all("ids" not in line.split("ReadSchema")[1] for line in scans) and any("GreaterThanOrEqual(doc_id,2990)" in line for line in scans)
+    assert sorted(r["doc_id"] for r in numbers.collect()) == list(range(2990, 3000))
+
+
+def test_wide_vocabularies_keep_their_ids(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    from logloom.llm import token_files
+
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id bigint, text string")
+    token_files.write_token_files(docs, str(tmp_path / "wide"), public_tokenizers.path("word_bpe_49k.json"), end_id=1 << 20)
+    rows = sorted(read_token_files(spark, str(tmp_path / "wide")).select("doc_id", "ids").collect())
+    assert rows[0]["ids"][-1] == 1 << 20 and rows[1]["ids"] == [1 << 20] and len(rows[0]["ids"]) == 4

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from logloom.functions.redact import RuleSet, redact_by_app
 from logloom.operators.admit import admit, split_rejected
 from logloom.operators.documents import archive_lines, search_documents
 from logloom.operators.envelope import decode, encode_collection, explode_batch
+from logloom.operators.ruletable import RuleTable, redact_by_table
 
 
 def routed(envelopes: DataFrame, prefix: str = "", suffix: str = "_logs") -> DataFrame:
@@ -36,22 +37,26 @@ def produce(
 
 def to_index(
     messages: DataFrame,
-    rules: Mapping[str, RuleSet],
+    rules: Mapping[str, RuleSet] | RuleTable | Callable[[Column, Column], Column],
     clock: Column | None = None,
     *,
     data_stream: bool = False,
     content_schema=None,
 ) -> DataFrame:
-    """Decode, route, make search documents and redact them; failures carry ``error``."""
+    """Decode, route, make search documents and redact them; failures carry ``error``.
+
+    ``rules`` is a mapping, a rule table (many applications), or any function of the application and the
+    text to a text, both columns.
+    """
     prefix = F.col("context.es_index_prefix")
     when = F.current_timestamp() if clock is None else clock
     made = _merged(search_documents(_records(messages)))
-    return made.withColumns(
-        {
-            "index_name": F.when(F.col("error").isNull(), index_name(prefix, when, data_stream)),
-            "document": redact_by_app(prefix, F.col("document"), rules, content_schema),
-        }
-    )
+    named = made.withColumn("index_name", F.when(F.col("error").isNull(), index_name(prefix, when, data_stream)))
+    if isinstance(rules, RuleTable):
+        return redact_by_table(named.withColumn("_app", prefix), rules, "_app", "document").drop("_app")
+    if callable(rules):
+        return named.withColumn("document", rules(prefix, F.col("document")))
+    return named.withColumn("document", redact_by_app(prefix, F.col("document"), rules, content_schema))
 
 
 def to_archive(messages: DataFrame, *, simple: bool = True) -> DataFrame:

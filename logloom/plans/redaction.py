@@ -7,9 +7,11 @@ from pyspark.sql import types as T
 
 from logloom.functions import pii
 from logloom.functions import redact as r
+from logloom.operators.ruletable import compile_rules, redact_by_table
 from logloom.plans import inputs as i
 from logloom.plans.registry import query
 from logloom.session import spread
+from logloom.sources import rules as sources
 
 EMAIL = r.StaticRule("EMAIL", r"[\w.]+@[\w.]+\.[a-z]+")
 NUMBER = r.StaticRule("NUMBER", r"\b\d{3,}\b")
@@ -155,6 +157,38 @@ def redact_by_app(spark, sf):
     )
 
 
+# Every document is of an application of its own or of one without rules; a rule's pattern, name and hints
+# are data. Applications with an empty rule set are not redacted, those without one get the default rules.
+TABLE_APP = "CASE WHEN doc_id % 3 = 0 THEN 'none-' || doc_id ELSE source || '-' || doc_id END"
+_CAPS = r"""'\b([A-Z])[a-z]{' || CAST(2 + doc_id % 5 AS VARCHAR) || '}\b'"""
+_DIGITS = r"""'\b' || CAST(doc_id % 10 AS VARCHAR) || '\d*'"""
+TABLE_RULES_SQL = rf"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {_replaced("text", NUMBER)} WHEN doc_id % 7 = 5 THEN text
+  ELSE regexp_replace(regexp_replace({_replaced("text", EMAIL)}, {_CAPS}, '\1[C' || lang || ' REDACTED]', 'g'), {_DIGITS}, '[N$ REDACTED]', 'g')
+  END AS text FROM documents"""
+
+
+def rule_rows(spark, sf):
+    """Three rules for each of two thirds of all documents, each document being an application; some sets are empty."""
+    rule = sources.RULES.valueType["StaticRules"].dataType
+    number = F.col("doc_id")
+    made = F.array(
+        F.struct(F.lit(EMAIL.name), F.lit(EMAIL.regex), F.lit(0), F.lit(0)),
+        F.struct(F.concat(F.lit("C"), "lang"), F.concat(F.lit(r"\b[A-Z][a-z]{"), (2 + number % 5).cast("string"), F.lit(r"}\b")), F.lit(1), F.lit(0)),
+        F.struct(F.lit("N$"), F.concat(F.lit(r"\b"), (number % 10).cast("string"), F.lit(r"\d*")), F.lit(0), F.lit(0)),
+    ).cast(rule)
+    own = i.table(spark, sf, "documents").filter(number % 3 != 0).select(
+        F.expr(TABLE_APP).alias("app"), F.when(number % 7 == 5, F.array().cast(rule)).otherwise(made).alias("StaticRules")
+    )
+    default = spark.range(1).select(F.lit("default").alias("app"), F.array(F.struct(F.lit(NUMBER.name), F.lit(NUMBER.regex), F.lit(0), F.lit(0))).cast(rule).alias("StaticRules"))
+    return own.unionByName(default).withColumn("JsonPathRules", F.array().cast(sources.RULES.valueType["JsonPathRules"].dataType))
+
+
+@query("redact_rules_table", TABLE_RULES_SQL)
+def redact_rules_table(spark, sf):
+    rows = i.table(spark, sf, "documents").select("doc_id", F.expr(TABLE_APP).alias("app"), "text")
+    return redact_by_table(rows, compile_rules(rule_rows(spark, sf))).select("doc_id", "text")
+
+
 def _pii_sql(kind: str, column: str) -> str:
     return f"regexp_replace({column}, {sql_pattern(pii.PATTERNS[kind])}, '{pii.MARK}', 'g')"
 

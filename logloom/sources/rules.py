@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.functions.redact import RuleSet, parse_rules
+from logloom.operators.ruletable import RuleTable, compile_rules
 
 _HINTS = [T.StructField("HintCharsStart", T.IntegerType()), T.StructField("HintCharsEnd", T.IntegerType())]
 RULES = T.MapType(
@@ -40,17 +41,34 @@ def load_rules(spark: SparkSession, path: str) -> dict[str, RuleSet]:
     return rules
 
 
+def load_rule_table(spark: SparkSession, path: str) -> RuleTable:
+    """The rules of all applications as a table: nothing passes through the driver, bad rules are set aside."""
+    return compile_rules(rules_table(spark.read.text(path, wholetext=True)))
+
+
 class LiveRules:
-    """Rules re-read before each micro-batch; the last good set stays in force when a read fails."""
+    """Rules re-read before each micro-batch; the last good set stays in force when a read fails.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self._spark, self._path = spark, path
-        self.current = load_rules(spark, path)
+    With ``as_table`` they are a rule table, for many applications. Then a bad rule or text is only set
+    aside, and a read fails if nothing at all could be read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, as_table: bool = False):
+        self._spark, self._path, self._as_table = spark, path, as_table
+        self.current = self._load()
         self.last_error: Exception | None = None
 
-    def refresh(self) -> dict[str, RuleSet]:
+    def _load(self):
+        if not self._as_table:
+            return load_rules(self._spark, self._path)
+        table = load_rule_table(self._spark, self._path)
+        if table.rules.isEmpty() and not table.refused.isEmpty():
+            raise ValueError(f"no rules could be read from {self._path}")
+        return table
+
+    def refresh(self):
         try:
-            self.current, self.last_error = load_rules(self._spark, self._path), None
+            self.current, self.last_error = self._load(), None
         except Exception as error:  # noqa: BLE001 - any failed read keeps the old rules
             self.last_error = error
         return self.current

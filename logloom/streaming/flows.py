@@ -22,18 +22,18 @@ def split_errors_kept(made: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def index_stream(
     messages: DataFrame, path: str, dead_letters: str, checkpoint: str, rules, *, every: str | None = None, clock=None,
-    data_stream: bool = False,
+    data_stream: bool = False, content_schema=None,
 ) -> StreamingQuery:
     """Messages to an index table, failures to a dead-letter table.
 
-    ``rules`` is a mapping, or ``LiveRules`` whose ``refresh`` runs before each micro-batch. A batch
+    ``rules`` is what ``to_index`` takes, or ``LiveRules`` whose ``refresh`` runs before each micro-batch. A batch
     that is replayed after a failure replaces all it had written, so nothing is stored twice. A dead
     letter keeps the message, so it can be replayed.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         current = rules.refresh() if hasattr(rules, "refresh") else rules
-        made = to_index(batch, current, clock, data_stream=data_stream).persist()  # for two writes
+        made = to_index(batch, current, clock, data_stream=data_stream, content_schema=content_schema).persist()  # for two writes
         try:
             good, bad = split_errors_kept(made)
             write_index(good, path, batch_id)

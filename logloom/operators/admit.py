@@ -68,15 +68,20 @@ def admit(
 
     ``cost`` defaults to 1 per request; ``max_tps`` is a column or one number for all keys.
     Requests repeated with equal key, time, ``seq`` and cost all stay; each takes its cost and they share
-    one verdict: admitted if every one of them fits. A request without a time, cost or quota takes no
-    tokens and is refused; without a time it has no window.
+    one verdict: admitted if every one of them fits. A request without a time, cost or quota is refused and
+    leaves window, quota and tokens as they were: it opens no first-hit window and has none; it has the
+    clock's window if it has a time.
     """
     if policy not in ("refill", "counter") or anchor not in ("tick", "first_hit"):
         raise ValueError(f"unknown policy {policy!r} or anchor {anchor!r}")
     fixed = isinstance(max_tps, int)
     quota = F.lit(max_tps) if fixed else F.col(max_tps)
+    known = F.col(ts).isNotNull()
+    for needed in ([] if cost is None else [cost]) + ([] if fixed else [max_tps]):
+        known = known & F.col(needed).isNotNull()
     keyed = requests.withColumns(
         {
+            "_known": known,
             "_key": F.col(key),
             "_ts": F.coalesce(F.unix_micros(F.col(ts)), F.lit(0).cast("long")),
             "_seq": F.col(seq),
@@ -91,11 +96,8 @@ def admit(
     else:
         decided = _by_refill(keyed, steady=fixed, carry=anchor == "tick")
     columns = [c for c in decided.columns if not c.startswith("_") or c in requests.columns]
-    known = F.col(ts).isNotNull()
-    for needed in ([] if cost is None else [cost]) + ([] if fixed else [max_tps]):
-        known = known & F.col(needed).isNotNull()
     return decided.withColumns(
-        {"window_start": F.when(F.col(ts).isNotNull(), F.timestamp_micros("_win")), "admitted": F.col("admitted") & known}
+        {"window_start": F.when(F.col(ts).isNotNull(), F.timestamp_micros("_win")), "admitted": F.col("admitted") & F.col("_known")}
     ).select(*[c for c in columns if c != "admitted"], "window_start", "admitted")
 
 
@@ -120,19 +122,20 @@ def _first_hit_windows(keyed: DataFrame, window_seconds: int) -> DataFrame:
     width = window_seconds * 1000
     hits = keyed.withColumn("_ms", F.expr("(_ts - pmod(_ts, 1000L)) div 1000L"))
     opened = (
-        stored(chain(hits, ["_key"], "_ms", width), "windows")
+        stored(chain(hits.filter("_known"), ["_key"], "_ms", width), "windows")
         .withColumn("_cell", cell("anchor", width))
         .select(F.col("_key").alias("_wkey"), "anchor", F.explode(F.expr("array(_cell, _cell + 1)")).alias("_wcell"))
     )
     here = (
-        F.col("_key").eqNullSafe(F.col("_wkey"))
+        F.col("_known")
+        & F.col("_key").eqNullSafe(F.col("_wkey"))
         & (F.col("_cell") == F.col("_wcell"))
         & (F.col("_ms") >= F.col("anchor"))
         & (F.col("_ms") < F.col("anchor") + width)
     )
     return (
         hits.withColumn("_cell", cell("_ms", width))
-        .join(opened, here)
+        .join(opened, here, "left")
         .withColumn("_win", F.col("anchor") * 1000)
         .drop("_ms", "_cell", "_wkey", "_wcell", "anchor")
     )
@@ -162,7 +165,7 @@ def _by_running_total(keyed: DataFrame, steady: bool) -> DataFrame:
     slice do the two mix, and those rows get a verdict each.
     """
     at = [*_GROUP, "_slice"]
-    narrow = keyed.select(*at, "_cost", "_quota", "_ts", "_seq")
+    narrow = keyed.filter("_known").select(*at, "_cost", "_quota", "_ts", "_seq")
     sums = narrow.groupBy(*at).agg(
         F.sum("_cost").alias("_amount"), F.min("_quota").alias("_low"), F.max("_quota").alias("_high")
     )
@@ -206,7 +209,7 @@ def _by_refill(keyed: DataFrame, steady: bool, carry: bool) -> DataFrame:
     the window before them (whose last quota filled the bucket, if ``carry``) saw a change; groups
     with a change are replayed request by request.
     """
-    narrow = keyed.select(*_GROUP, "_slice", "_cost", "_quota", "_ts", "_seq")
+    narrow = keyed.filter("_known").select(*_GROUP, "_slice", "_cost", "_quota", "_ts", "_seq")
     groups = narrow.groupBy(*_GROUP).agg(
         F.sum("_cost").alias("_total"), F.min("_quota").alias("_low"), F.max("_quota").alias("_high")
     )

@@ -50,9 +50,10 @@ def from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+def event_stream(spark: SparkSession, sf: str, batch_bytes: int = 256 << 20) -> DataFrame:
+    """The events as a stream; a micro-batch takes files of so many bytes, one at least."""
     schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", str(batch_bytes)).parquet(sf)
 
 
 def drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:

@@ -8,7 +8,9 @@ from logloom.operators.admit import admit, limiter, split_rejected
 from logloom.operators.segments import flush_segments
 from logloom.plans import inputs as i
 from logloom.plans.registry import query
+from logloom.session import scratch
 from logloom.streaming.admit import admit_stream
+from logloom.streaming.closing import admit_closed, closed_verdicts
 
 SECONDS = 10
 WIDTH = SECONDS * 1_000_000
@@ -167,3 +169,68 @@ def stream_admit(spark, sf):
     requests = i.requests_of(i.from_events(i.event_stream(spark, sf)))
     verdicts = admit_stream(requests, ts="arrival", seq="event_id", cost="cost", window_seconds=SECONDS)
     return i.drained(spark, verdicts, "stream-admit").select(F.col("seq").alias("event_id"), "key", "admitted")
+
+
+@query("stream_admit_first_hit", _first_hit("CASE WHEN cost <= have THEN have - cost ELSE have END", "cost <= have", "quota").replace("opened * 1000 AS window_us, ", ""))
+def stream_admit_first_hit(spark, sf):
+    """The streaming limiter whose windows open at a key's first request."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    requests = i.requests_of(i.from_events(i.event_stream(spark, sf)))
+    verdicts = admit_stream(requests, ts="arrival", seq="event_id", cost="cost", window_seconds=SECONDS, **limiter("gubernator"))
+    return i.drained(spark, verdicts, "stream-admit").select(F.col("seq").alias("event_id"), "key", "admitted")
+
+
+LATE = 3
+_CLOSED = f"(SELECT max(arrival_us) - {LATE * 1_000_000} FROM requests)"
+
+
+def _closing(spark, sf, name):
+    requests = i.requests_of(i.from_events(i.event_stream(spark, sf)))
+    out = scratch(spark, "closed")
+    admit_closed(requests, f"{out}/verdicts", f"{out}/state", f"{out}/checkpoint", cost="cost", late_seconds=LATE, **limiter(name), **ARGS).awaitTermination()
+    return _verdicts(closed_verdicts(spark, f"{out}/verdicts", requests.schema))
+
+
+@query(
+    "stream_admit_closed",
+    f"WITH RECURSIVE {REFILL} SELECT event_id, key, window_us, admitted FROM fold WHERE window_us + {WIDTH} <= {_CLOSED}",
+)
+def stream_admit_closed(spark, sf):
+    """Verdicts of the clock's windows that the watermark has passed."""
+    return _closing(spark, sf, "local")
+
+
+@query(
+    "stream_admit_first_hit_closed",
+    _first_hit("have + cost", "have + cost <= quota", "0") + f" WHERE opened * 1000 + {WIDTH} <= {_CLOSED}",
+)
+def stream_admit_first_hit_closed(spark, sf):
+    """The same for windows that open at a key's first request, counting refused ones, too."""
+    return _closing(spark, sf, "redis")
+
+
+# As limit_dirty, for a bucket: every fifth quota is missing, too. What is missing changes nothing.
+@query(
+    "limit_dirty_refill",
+    f"""WITH RECURSIVE {i.REQUESTS}, dirty AS (
+      SELECT event_id, key, CASE WHEN event_id % 5 <> 2 THEN max_tps * {SECONDS} END AS quota,
+        CASE WHEN event_id % 13 <> 5 THEN arrival_us END AS at_us, CASE WHEN event_id % 11 <> 3 THEN cost END AS cost FROM requests),
+    o AS (SELECT *, at_us - at_us % {WIDTH} AS window_us, row_number() OVER (PARTITION BY key, at_us // {WIDTH} ORDER BY at_us, event_id) AS rn
+      FROM dirty WHERE at_us IS NOT NULL AND cost IS NOT NULL AND quota IS NOT NULL),
+    fold AS (
+      SELECT key, window_us, rn, event_id, CASE WHEN cost <= quota THEN quota - cost ELSE quota END AS rest, cost <= quota AS admitted FROM o WHERE rn = 1
+      UNION ALL
+      SELECT o.key, o.window_us, o.rn, o.event_id, CASE WHEN o.cost <= f.rest THEN f.rest - o.cost ELSE f.rest END, o.cost <= f.rest
+      FROM fold f JOIN o ON o.key = f.key AND o.window_us = f.window_us AND o.rn = f.rn + 1)
+    SELECT event_id, key, window_us, admitted FROM fold
+    UNION ALL SELECT event_id, key, at_us - at_us % {WIDTH}, false FROM dirty WHERE at_us IS NULL OR cost IS NULL OR quota IS NULL""",
+)
+def limit_dirty_refill(spark, sf):
+    n = F.col("event_id")
+    dirty = i.requests(spark, sf).withColumns(
+        {"arrival": F.when(n % 13 != 5, F.col("arrival")), "cost": F.when(n % 11 != 3, F.col("cost")), "max_tps": F.when(n % 5 != 2, F.col("max_tps"))}
+    )
+    return _verdicts(admit(dirty, cost="cost", **ARGS))

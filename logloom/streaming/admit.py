@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-_COLUMNS = ["key", "ts", "seq", "cost", "quota"]
+_COLUMNS = ["key", "ts", "seq", "cost", "quota", "known"]
 _STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("window", "quota", "used", "last")])
 
 
@@ -30,8 +30,10 @@ class Bucket(StatefulProcessor):
         batch = pd.concat([b.set_axis(_COLUMNS, axis="columns") for b in rows])
         batch = batch.sort_values(["ts", "seq"], kind="stable").reset_index(drop=True)
         verdicts = []
-        for at, cost, quota in zip(batch["ts"], batch["cost"], batch["quota"], strict=True):
-            state, verdict = self._take(state, int(at), int(cost), int(quota))
+        for at, cost, quota, known in zip(batch["ts"], batch["cost"], batch["quota"], batch["known"], strict=True):
+            verdict = False  # without a time, cost or quota: refused, and nothing changes
+            if known:
+                state, verdict = self._take(state, int(at), int(cost), int(quota))
             verdicts.append(verdict)
         yield pd.DataFrame({"key": key[0], "seq": batch["seq"], "cost": batch["cost"], "admitted": verdicts})
         if state is not None:
@@ -73,17 +75,20 @@ def admit_stream(
 ) -> DataFrame:
     """Streaming ``admit``: ``key, seq, cost, admitted``. Needs the RocksDB state store.
 
+    Requests without a time, cost or quota are refused and change nothing; a missing cost is given as 0.
     The state of a key is four numbers. With ``idle_seconds`` it is dropped after that long without
     a request; such a query keeps checking the clock, so it suits a processing-time trigger and
     never drains.
     """
-    quota = F.lit(max_tps) if isinstance(max_tps, int) else F.col(max_tps)
-    rows = requests.select(
+    quota = (F.lit(max_tps) if isinstance(max_tps, int) else F.col(max_tps)).cast("long") * window_seconds
+    at, price = F.unix_micros(F.col(ts)), (F.lit(1) if cost is None else F.col(cost)).cast("long")
+    rows = requests.select(  # no nulls among numbers: pandas would make them all floats
         F.col(key).alias("_key"),
-        F.unix_micros(F.col(ts)).alias("_ts"),
+        F.coalesce(at, F.lit(0)).alias("_ts"),
         F.col(seq).cast("long").alias("_seq"),
-        (F.lit(1) if cost is None else F.col(cost)).cast("long").alias("_cost"),
-        (quota.cast("long") * window_seconds).alias("_quota"),
+        F.coalesce(price, F.lit(0)).alias("_cost"),
+        F.coalesce(quota, F.lit(0)).alias("_quota"),
+        (at.isNotNull() & price.isNotNull() & quota.isNotNull()).alias("_known"),
     )
     out = T.StructType(
         [

@@ -143,3 +143,38 @@ def test_requests_without_time_or_cost_are_refused_and_kept(spark, anchor, polic
     good, bad = split_rejected(admit(requests, cost="cost", max_tps=1, window_seconds=4, policy=policy, anchor=anchor))
     assert sorted([r.seq for r in good.collect()] + [r.seq for r in bad.collect()]) == list(range(8))
     assert {3, 5} <= {r.seq for r in bad.collect()}
+
+
+def simulate_known(rows, window, policy, anchor):
+    """As ``simulate``; requests without a time, cost or quota are refused and change nothing."""
+    known = [r for r in rows if None not in (r[1], r[3], r[4])]
+    return dict.fromkeys((r[2] for r in rows), False) | simulate(known, window, policy, anchor)
+
+
+@pytest.mark.parametrize("anchor", ["tick", "first_hit"])
+@pytest.mark.parametrize("policy", ["refill", "counter"])
+@pytest.mark.parametrize("quota", [lambda key, n: 20, lambda key, n: 1 + n // 300 % 4 * 10], ids=["steady", "moving"])
+def test_requests_with_nulls_leave_the_bucket_as_it_was(spark, anchor, policy, quota):
+    rows = [
+        (key, None if n % 11 == 3 else at, n, None if n % 7 == 2 else cost, None if n % 5 == 1 else tps)
+        for n, (key, at, _, cost, tps) in enumerate(requests(23, quota=quota))
+    ]
+    wanted = simulate_known(rows, 5, policy, anchor)
+    assert verdicts(spark, rows, cost="cost", window_seconds=5, policy=policy, anchor=anchor) == wanted
+    assert 0 < sum(wanted.values()) < len(rows)
+
+
+@pytest.mark.parametrize("anchor", ["tick", "first_hit"])
+def test_a_null_quota_does_not_refill(spark, anchor):
+    steps = [("k", n, 1, 10) for n in range(10)] + [("k", 20, 1, None)] + [("k", 30 + n, 1, 10) for n in range(10)]
+    assert golden(spark, steps, anchor=anchor) == [True] * 10 + [False] * 11
+
+
+def test_a_window_of_nulls_only_does_not_hide_the_last_quota(spark):
+    steps = [("k", 0, 1, 10), ("k", 1500, 5, None), ("k", 2000, 8, 4), ("k", 2001, 8, 4)]
+    assert golden(spark, steps) == [True, False, True, False]
+
+
+def test_a_null_opens_no_first_hit_window(spark):
+    steps = [("k", 0, None, 1), ("k", 900, 1, 1), ("k", 1100, 1, 1), ("k", 1950, 1, 1)]
+    assert golden(spark, steps, anchor="first_hit") == [False, True, False, True]

@@ -1,9 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.operators.chain import chain
+from logloom.operators.chain import _runs, chain
 from logloom.operators.quantiles import exact_quantiles
 from logloom.operators.running import running_total
 from logloom.operators.segments import flush_segments
@@ -29,6 +30,31 @@ def test_chain_equals_walk(spark, step, start):
         assert sorted(row.anchor for row in found if row.g == g) == walk(xs, step, start)
 
 
+@pytest.mark.parametrize("start", [None, 40])
+@pytest.mark.parametrize("fan_in", [2, 3])
+def test_a_tree_of_blocks_equals_walk(spark, start, fan_in):
+    source = random.Random(fan_in)
+    groups = {g: [source.randrange(low, 30_000) for _ in range(n)] for g, n, low in [("hot", 6000, -9000), ("gaps", 25, -9000), (None, 300, 0), ("one", 1, 0)]}
+    rows = [(g, 1, x) for g, xs in groups.items() for x in xs for _ in range(1 + x % 2)] + [("nulls", 1, None)]
+    found = chain(spark.createDataFrame(rows, "g string, _block int, x long"), ["g", "_block"], "x", 37, start, block_cells=3, fan_in=fan_in).collect()
+    assert {tuple(r)[1] for r in found} == {1}
+    for g, xs in groups.items():
+        assert sorted(row.anchor for row in found if row.g == g) == walk(xs, 37, start)
+    assert chain(spark.createDataFrame([], "g string, x long"), ["g"], "x", 5).collect() == []
+
+
+def test_one_dense_key_is_spread_over_its_blocks(spark):
+    points = spark.range(1_000_000).select(F.lit("hot").alias("g"), (F.col("id") * 3 + F.col("id") % 2).alias("x"))
+    found = chain(points, ["g"], "x", 1000, block_cells=8, fan_in=16)
+    anchors = sorted(r.anchor for r in found.collect())
+    assert anchors == walk([i * 3 + i % 2 for i in range(1_000_000)], 1000)
+
+
+def test_two_groups_of_one_hash_are_told_apart(spark):
+    batch = pa.RecordBatch.from_pydict({"_run": [7, 7, 7, 8], "g": ["a", "a", "b", "b"], "_x": [1, 2, 1, 5]})
+    assert [t["_x"].to_pylist() for t in _runs(iter([batch.slice(0, 1), batch.slice(1)]), ["g"])] == [[1, 2], [1], [5]]
+
+
 def test_running_total(spark):
     source = random.Random(1)
     rows = [(source.choice("aab"), source.randrange(100), n, source.randrange(9)) for n in range(2000)]

@@ -3,7 +3,8 @@
 Fingerprints are made in Arrow batches; from then on only distinct fingerprints move. Two that differ
 in at most ``radius`` bits agree on one of ``radius + 1`` blocks of bits, so each is sent to one shard
 per block, keyed by the block's value. A shard larger than ``shard_size`` is cut again the same way
-over its other bits (the same argument holds there), up to three times. Each shard builds a BK-tree,
+over its other bits (the same argument holds there), until none is: members of a shard differ, and so
+few bits are left free in the end that there are no more values. Each shard builds a BK-tree,
 children keyed by their Hamming distance to the parent, and every member follows only the edges within
 the radius. A shard answers with one link per member to its smallest partner group, not with all
 pairs; connected components over those links are the same as over all pairs.
@@ -11,6 +12,9 @@ pairs; connected components over those links are the same as over all pairs.
 
 from __future__ import annotations
 
+
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,9 +30,10 @@ SHINGLE_WORDS = 4
 SEED = 42
 #: Bits that linked fingerprints may differ in.
 RADIUS = 4
-#: Members from which a shard is cut again, and how often.
-SHARD_SIZE = 2000
-CUTS = 3
+#: Members from which a shard is cut again: no task holds more at once.
+SHARD_SIZE = 2048
+#: Members from which a shard's queries go down the tree together.
+TOGETHER = 48
 _WEIGHTS = (1 << np.arange(64, dtype=np.uint64)).astype(np.uint64)
 
 
@@ -102,10 +107,9 @@ class BkTree:
 
 
 def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """(member, smallest member of its group) for the groups that links within the shard make.
-
-    A new member is searched for among those before it, so each pair is met once.
-    """
+    """(member, smallest member of its group) for the groups that links within the shard make. ``values`` ascend."""
+    if len(values) >= TOGETHER:
+        return _links_together(values, radius)
     tree, parent = BkTree(), list(range(len(values)))
 
     def top(i: int) -> int:
@@ -114,7 +118,7 @@ def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
             i = parent[i]
         return i
 
-    for i, value in enumerate(values):
+    for i, value in enumerate(values):  # among those before it, so each pair is met once
         for j in tree.within(value, radius):
             a, b = top(i), top(j)
             parent[max(a, b)] = min(a, b)
@@ -122,65 +126,87 @@ def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     return [(values[i], values[r]) for i in range(len(values)) if (r := top(i)) != i]
 
 
-def _blocks(free: list[int], count: int) -> list[list[int]]:
-    """``free`` bit positions dealt into ``count`` blocks of near equal size."""
-    cuts = [round(k * len(free) / count) for k in range(count + 1)]
-    return [free[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def _mask(bits: list[int]) -> int:
-    mask = sum(1 << b for b in bits)
-    return mask - (1 << 64) if mask >= 1 << 63 else mask
-
-
-def _sharded(distinct: DataFrame, radius: int, shard_size: int, cuts: int) -> DataFrame:
-    """path, fixed (the bits all members share), simhash: one row per member and shard."""
-    done, level = None, None
-    frontier: list[tuple[str, list[int]]] = [("", list(range(64)))]
-    for depth in range(cuts):
-        parts = []
-        for path, free in frontier:
-            for n, block in enumerate(_blocks(free, radius + 1)):
-                parts.append((path, f"{path}{n}", block, [b for b in free if b not in block]))
-        if level is None:
-            source = distinct.select(F.lit("").alias("path"), F.lit(0).cast("long").alias("fixed"), "simhash")
-        else:
-            source = level
-        mask = {p: [F.struct(F.lit(name).alias("path"), F.col("fixed").bitwiseOR(F.col("simhash").bitwiseAND(F.lit(_mask(block)).cast("long"))).alias("fixed")) for q, name, block, _ in parts if q == p] for p, _ in frontier}
-        choice = None
-        for p, structs in mask.items():
-            choice = F.when(F.col("path") == p, F.array(*structs)) if choice is None else choice.when(F.col("path") == p, F.array(*structs))
-        spread = source.select("simhash", F.explode(choice).alias("s")).select("s.path", "s.fixed", "simhash")
-        frontier = [(name, free) for _, name, _, free in parts]
-        if depth == cuts - 1:
-            return spread if done is None else done.unionByName(spread)
-        spread = stored(spread, "shards")
-        sizes = spread.groupBy("path", "fixed").agg(F.count("*").alias("n"))
-        large = stored(sizes.filter(F.col("n") > shard_size).select("path", "fixed"), "large")
+def _links_together(values: list[int], radius: int) -> list[tuple[int, int]]:
+    """The same, with all members going down the tree at once: of each node those that follow an edge to it."""
+    tree = BkTree()
+    for value in values:
+        tree.add(value)
+    members = np.array(values, dtype=np.uint64)
+    group = np.arange(len(values))
+    todo = [(0, group)]
+    while todo:
+        at, asking = todo.pop()
+        distance = np.bitwise_count(members[asking] ^ members[at]).astype(np.int64)
+        found = asking[distance <= radius]
+        if len(found):
+            groups = group[found]
+            least = min(groups.min(), group[at])
+            if groups.max() != least or group[at] != least:
+                group[np.isin(group, np.append(groups, group[at]))] = least
+        for edge, child in tree.children[at].items():
+            near = np.abs(distance - edge) <= radius
+            if near.any():
+                todo.append((child, asking[near]))
+    return [(values[i], values[g]) for i, g in enumerate(group.tolist()) if g != i]
+
+
+@functools.cache
+def _cut_masks(fixed: int, radius: int) -> list[int]:
+    """The bits that are fixed after one more block of the free ones is, for each block."""
+    free = [b for b in range(64) if not fixed >> b & 1]
+    ends = [round(k * len(free) / (radius + 1)) for k in range(radius + 2)]
+    return [fixed | sum(1 << b for b in free[a:e]) for a, e in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _cut(rows: DataFrame, radius: int) -> DataFrame:
+    """mask, fixed, simhash: each member once per block of its shard's free bits."""
+
+    def run(batches):
+        for batch in batches:
+            masks, values = (batch.column(c).to_numpy().view(np.uint64) for c in (0, 1))
+            for mask in np.unique(masks).tolist():
+                own = values[masks == mask]
+                for wider in _cut_masks(mask, radius):
+                    made = [np.full(len(own), wider, dtype=np.uint64), own & np.uint64(wider), own]
+                    yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)) for m in made], ["mask", "fixed", "simhash"])
+
+    return rows.select("mask", "simhash").mapInArrow(run, "mask bigint, fixed bigint, simhash bigint")
+
+
+def _sharded(distinct: DataFrame, radius: int, shard_size: int) -> DataFrame:
+    """mask (the bits all members of a shard share), fixed (their values), simhash: one row per member and shard.
+
+    No shard has more than ``shard_size`` members, or 4 ** (radius + 1) if that is more: one with so few free
+    bits is not cut, nor could it hold more.
+    """
+    least_free = max(2 * (radius + 1), shard_size.bit_length() - 1)
+    done, level = None, distinct.select(F.lit(0).cast("long").alias("mask"), "simhash")
+    while True:
+        spread = stored(_cut(level, radius), "shards")
+        sizes = spread.groupBy("mask", "fixed").agg(F.count("*").alias("n"))
+        large = sizes.filter((F.col("n") > shard_size) & (64 - F.bit_count("mask") > least_free)).select("mask", "fixed")
+        large = stored(large, "large")
         if large.isEmpty():
             return spread if done is None else done.unionByName(spread)
-        small = spread.join(large, ["path", "fixed"], "left_anti")
+        small = spread.join(large, ["mask", "fixed"], "left_anti").select("mask", "fixed", "simhash")
         done = small if done is None else done.unionByName(small)
-        level = spread.join(large, ["path", "fixed"], "left_semi")
-        used = {r["path"] for r in large.select("path").distinct().collect()}  # names of block choices, few by construction
-        frontier = [(p, free) for p, free in frontier if p in used]
-    return done
+        level = spread.join(large, ["mask", "fixed"], "left_semi")
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE, cuts: int = CUTS) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
     """u, v: links between distinct fingerprints whose components are those of all links."""
-    shards = _sharded(distinct, radius, shard_size, cuts).withColumn("shard", F.xxhash64("path", "fixed"))
+    shards = _sharded(distinct, radius, shard_size).withColumn("shard", F.xxhash64("mask", "fixed"))
     # a shard of one member has no link; sorted by shard, a task reads one shard after the other
-    ordered = shards.select("shard", "path", "fixed", "simhash").repartition("shard").sortWithinPartitions("shard", "path", "fixed", "simhash")
+    ordered = shards.select("shard", "mask", "fixed", "simhash").repartition("shard").sortWithinPartitions("shard", "mask", "fixed", "simhash")
 
     def run(batches):
         for table in keyed(batches, "shard"):
             if table.num_rows < 2:
                 continue
             kinds: dict[tuple, list[int]] = {}  # two shards may share a hash
-            for path, fixed, value in zip(table["path"].to_pylist(), table["fixed"].to_pylist(), table["simhash"].to_pylist(), strict=True):
-                kinds.setdefault((path, fixed), []).append(value & 0xFFFFFFFFFFFFFFFF)
-            found = [pair for values in kinds.values() for pair in shard_links(values, radius)]
+            for mask, fixed, value in zip(table["mask"].to_pylist(), table["fixed"].to_pylist(), table["simhash"].to_pylist(), strict=True):
+                kinds.setdefault((mask, fixed), []).append(value & 0xFFFFFFFFFFFFFFFF)
+            found = [pair for values in kinds.values() for pair in shard_links(sorted(values), radius)]
             if found:
                 pairs = np.array(found, dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])

@@ -147,10 +147,12 @@ fold AS (
   FROM fold f JOIN o ON o.topic = f.topic AND o.window_us = f.window_us AND o.rn = f.rn + 1)"""
 
 
+def segment_lines(spark, sf):
+    return i.logs(spark, sf).select("event_id", "topic", "ts", F.to_json(F.struct("topic", "timestamp", "content")).alias("line"))
+
+
 def segments(spark, sf):
-    lines = i.logs(spark, sf).select(
-        "event_id", "topic", "ts", F.octet_length(F.to_json(F.struct("topic", "timestamp", "content"))).alias("bytes")
-    )
+    lines = segment_lines(spark, sf).withColumn("bytes", F.octet_length("line"))
     return flush_segments(lines, seq="event_id", max_bytes=SEGMENT_BYTES, max_seconds=SEGMENT_SECONDS)
 
 

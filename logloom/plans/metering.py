@@ -10,9 +10,10 @@ from logloom.operators.admit import admit, split_rejected
 from logloom.operators.envelope import split_errors
 from logloom.plans import flows
 from logloom.plans import inputs as i
-from logloom.plans.limits import ARGS, REFILL, SEGMENTS, segments
+from logloom.plans.limits import ARGS, REFILL, SEGMENT_BYTES, SEGMENT_SECONDS, SEGMENTS, segment_lines
 from logloom.plans.records import ERROR_SQL, error_reason
 from logloom.plans.registry import query
+from logloom.sinks import flushes
 from logloom.sources.rules import rules_table
 
 
@@ -248,13 +249,38 @@ def m_tps(spark, sf):
     return counted.select(F.unix_micros("window_start").alias("window_us"), "n")
 
 
+_FLUSHES = f"""WITH RECURSIVE {SEGMENTS}, s AS (
+  SELECT topic, window_us, segment, count(*) AS lines, CAST(sum(o.bytes) AS BIGINT) AS bytes FROM fold JOIN o USING (event_id, topic, window_us) GROUP BY ALL)"""
+
+
+def _archive(spark, sf):
+    """The events' lines, archived flush by flush: (folder, manifest)."""
+    out = i.scratch(spark, "flushes")
+    return out, flushes.write_flushes(segment_lines(spark, sf), out, seq="event_id", max_bytes=SEGMENT_BYTES, max_seconds=SEGMENT_SECONDS)
+
+
 @query(
     "m_archive",
-    f"""WITH RECURSIVE {SEGMENTS}, s AS (SELECT topic, window_us, segment, sum(o.bytes) AS bytes FROM fold JOIN o USING (event_id, topic, window_us) GROUP BY ALL)
-    SELECT topic, count(*) AS uploads, CAST(sum(bytes) AS BIGINT) AS bytes FROM s GROUP BY topic""",
+    f"{_FLUSHES} SELECT topic, 'success' AS outcome, count(*) AS uploads, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(bytes) AS BIGINT) AS bytes FROM s GROUP BY topic",
 )
 def m_archive(spark, sf):
-    return meter.archive_uploads(segments(spark, sf), "topic")
+    return flushes.uploads(_archive(spark, sf)[1], "topic")
+
+
+@query("archive_manifest", f"{_FLUSHES} SELECT topic, window_us, segment, lines, bytes, 'success' AS outcome FROM s")
+def archive_manifest(spark, sf):
+    return _archive(spark, sf)[1].select("topic", F.unix_micros("flush_window").alias("window_us"), "segment", "lines", "bytes", "outcome")
+
+
+@query(
+    "archive_objects",
+    f"{_FLUSHES} SELECT topic, lines, bytes, count(*) AS objects FROM s GROUP BY ALL",
+)
+def archive_objects(spark, sf):
+    """What is in the objects, read back through the manifest."""
+    out, _ = _archive(spark, sf)
+    held = flushes.read_archive(spark, out).groupBy("topic", "object").agg(F.count("*").alias("lines"), F.sum(F.octet_length("value")).alias("bytes"))
+    return held.groupBy("topic", "lines", "bytes").agg(F.count("*").alias("objects"))
 
 
 @query(

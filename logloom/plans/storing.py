@@ -11,7 +11,7 @@ from logloom.plans import inputs as i
 from logloom.plans.limits import SECONDS
 from logloom.plans.redaction import BY_APP_SQL, RULES, texts
 from logloom.plans.registry import query
-from logloom.sinks import tables
+from logloom.sinks import flushes, registry, tables
 from logloom.streaming import flows as streaming
 
 
@@ -141,6 +141,48 @@ def stream_archive_failures(spark, sf):
     return lines.unionByName(dead).groupBy("topic", "error").agg(F.count("*").alias("n"))
 
 
+# Every topic once with the options of its first record, over a stream that ran, was fed again and replayed.
+@query(
+    "stream_topic_registry",
+    f"""WITH {i.LOGS} SELECT topic, CAST(1 + arg_min(event_id, (ts, event_id)) % 3 AS INTEGER) AS partitions,
+    CAST(1 + arg_min(event_id, (ts, event_id)) % 2 AS INTEGER) AS replication, CAST(0 AS BIGINT) AS batch_id FROM logs GROUP BY topic""",
+)
+def stream_topic_registry(spark, sf):
+    out = i.scratch(spark, "topic-registry")
+    logs = i.from_events(i.event_stream(spark, sf))
+    registry.registry_stream(logs, f"{out}/topics", f"{out}/checkpoint", ["ts", "event_id"]).awaitTermination()
+    again = i.logs(spark, sf)
+    registry.register_topics(again, f"{out}/topics", 0, ["ts", "event_id"])
+    registry.register_topics(again, f"{out}/topics", 1, ["ts", "event_id"])
+    return registry.read_registry(spark, f"{out}/topics")
+
+
+@query(
+    "stream_archive_flushes",
+    f"""WITH {i.MESSAGES} SELECT topic, 'success' AS outcome, count(*) AS lines FROM documented WHERE content IS NOT NULL GROUP BY topic
+    UNION ALL
+    SELECT topic, 'dead letter', count(*) FROM (SELECT topic FROM documented WHERE content IS NULL UNION ALL SELECT topic FROM logs WHERE event_id % 10 = 9) GROUP BY topic""",
+)
+def stream_archive_flushes(spark, sf):
+    """A stream archived flush by flush; what failed is beside it without being asked for."""
+    out = i.scratch(spark, "archive-flushes")
+    messages = i.messages(i.event_stream(spark, sf))
+    streaming.archive_stream(messages, f"{out}/lines", f"{out}/checkpoint", simple=False, flush_bytes=20_000, flush_seconds=86_400).awaitTermination()
+    lines = flushes.read_archive(spark, f"{out}/lines").select("topic", F.lit("success").alias("outcome"))
+    dead = spark.read.parquet(f"{out}/lines/_dead_letters").select("topic", F.lit("dead letter").alias("outcome"))
+    return lines.unionByName(dead).groupBy("topic", "outcome").agg(F.count("*").alias("lines"))
+
+
+@query("sink_data_stream", f"WITH {i.MESSAGES} SELECT es_index_prefix AS stream, count(*) AS n FROM documented WHERE error IS NULL GROUP BY ALL")
+def sink_data_stream(spark, sf):
+    """Documents appended to data streams, which have no day in their names."""
+    out = i.scratch(spark, "data-stream")
+    streaming.index_stream(
+        i.messages(i.event_stream(spark, sf)), f"{out}/index", f"{out}/dead", f"{out}/checkpoint", INDEX_RULES, clock=F.col("ts"), data_stream=True
+    ).awaitTermination()
+    return spark.read.parquet(f"{out}/index").groupBy(F.col("index_name").alias("stream")).agg(F.count("*").alias("n"))
+
+
 # A batch is a user's turns of conversation; its cost is the number of its items.
 _PRODUCED = f"""b AS (
   SELECT conv_id, conv_id % 4 AS app, conv_id * 500000 AS at_us, count(*) AS cost, 1 + conv_id % 4 AS max_tps FROM conversations GROUP BY conv_id),

@@ -52,7 +52,7 @@ def write_dead_letters(failed: DataFrame, path: str, batch_id: int) -> None:
 
 def write_archive(lines: DataFrame, path: str, compression: str = "gzip", mode: str = "append") -> None:
     """Newline-delimited text per topic. ``zstd`` is not a text codec here: it goes to Parquet."""
-    rows = balanced(lines.select("topic", F.col("line").alias("value")), "topic").write.partitionBy("topic").mode(mode)
+    rows = balanced(lines.select("topic", F.col("line").alias("value")), "topic").write.partitionBy("topic").mode(mode).option("partitionOverwriteMode", "static")
     if compression == "zstd":
         rows.option("compression", "zstd").parquet(path)
     elif compression in TEXT_CODECS:

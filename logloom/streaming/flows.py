@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logloom.operators.meter import count_by
 from logloom.plans.flows import to_archive, to_index
+from logloom.sinks.flushes import write_flushes
 from logloom.sinks.tables import write_archive, write_dead_letters, write_index
 
 
@@ -47,32 +48,30 @@ def index_stream(
 
 def archive_stream(
     messages: DataFrame, path: str, checkpoint: str, *, every: str | None = None, compression: str = "gzip", simple: bool = True,
-    dead_letters: str | None = None,
+    dead_letters: str | None = None, flush_bytes: int | None = None, flush_seconds: int = 3600, ts: str = "ts", seq: str = "event_id", on_flush=None,
 ) -> StreamingQuery:
-    """Messages to compressed text per topic; offsets commit with the files, exactly once.
+    """Messages to compressed text per topic; each micro-batch has a folder, which a replay replaces.
 
     The trigger interval is the flush time; ``maxBytesPerTrigger`` on the source is the flush size. With
-    ``dead_letters`` each micro-batch is written to a folder of its own, which a replay replaces, and
-    messages that failed go to that table with what is needed to replay them; without it they are left out.
+    ``flush_bytes`` a micro-batch is cut into flushes by (``ts``, ``seq``), one object each, listed in a
+    manifest (``sinks.flushes``). Messages that failed go, with what is needed to replay them, to the table
+    ``dead_letters``, or to ``path/_dead_letters``, which readers of the archive do not see.
     """
-    if dead_letters:
+    dead = dead_letters or f"{path.rstrip('/')}/_dead_letters"
 
-        def store(batch: DataFrame, batch_id: int) -> None:
-            made = to_archive(batch, simple=simple).persist()
-            try:
-                good, bad = split_errors_kept(made)
+    def store(batch: DataFrame, batch_id: int) -> None:
+        made = to_archive(batch, simple=simple).persist()  # for two writes
+        try:
+            good, bad = split_errors_kept(made)
+            if flush_bytes is None:
                 write_archive(good, f"{path}/batch_id={batch_id}", compression, mode="overwrite")
-                write_dead_letters(bad, dead_letters, batch_id)
-            finally:
-                made.unpersist()
-
-        return _trigger(messages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint), every).start()
-    lines = to_archive(messages, simple=simple).filter("error IS NULL").select("topic", F.col("line").alias("value"))
-    writer = (
-        lines.writeStream.format("text").option("compression", compression).option("path", path)
-        .partitionBy("topic").option("checkpointLocation", checkpoint)
-    )
-    return _trigger(writer, every).start()
+            else:
+                write_flushes(good, path, batch_id, ts=ts, seq=seq, compression=compression, max_bytes=flush_bytes, max_seconds=flush_seconds, on_flush=on_flush)
+            write_dead_letters(bad, dead, batch_id)
+        finally:
+            made.unpersist()
+
+    return _trigger(messages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint), every).start()
 
 
 def count_stream(logs: DataFrame, *labels: str, every: str = "1 hour", ts: str = "ts", late: str = "1 hour") -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions.redact import DEFAULT_APP
+
 from logloom.operators.quantiles import exact_quantiles
 
 QUANTILES = (0.5, 0.9, 0.99)
@@ -87,9 +89,24 @@ def secrets_seen(df: DataFrame, secret: str = "app_secret") -> DataFrame:
     return df.select(secret).distinct()
 
 
-def last_value(df: DataFrame, value: str, *labels: str, ts: str = "ts") -> DataFrame:
-    """Gauge: the latest value per label."""
-    return df.groupBy(*labels).agg(F.max_by(value, ts).alias(value))
+def last_value(df: DataFrame, value: str, *labels: str, ts: str = "ts", seq: str | None = None) -> DataFrame:
+    """Gauge: the latest value per label; of equal times the one with the largest ``seq``, else the largest value."""
+    return df.groupBy(*labels).agg(F.max_by(value, F.struct(ts, seq or value)).alias(value))
+
+
+def with_info(gauges: DataFrame, name: str = "info") -> DataFrame:
+    """An info gauge beside the others: 1 for every label set that exists."""
+    return gauges.withColumn(name, F.lit(1))
+
+
+def redacted_bytes(df: DataFrame, rules, app: str, text: str) -> DataFrame:
+    """Bytes seen by redaction per application: only of those for which there are rules, their own or the default ones."""
+    sets = {name: bool(r.static or r.paths) for name, r in rules.items()}
+    default = sets.pop(DEFAULT_APP, False)
+    own = F.col(app)
+    without, with_rules = [n for n, any_ in sets.items() if not any_], [n for n, any_ in sets.items() if any_]
+    seen = ~F.coalesce(own.isin(without), F.lit(False)) if default else F.coalesce(own.isin(with_rules), F.lit(False))
+    return sum_by(df.filter(seen), F.octet_length(text), app, name="bytes")
 
 
 def archive_uploads(segmented: DataFrame, *labels: str, size: str = "bytes") -> DataFrame:

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.functions.document import app_name, error_class, index_base, index_name
-from logloom.operators import meter
+from logloom.operators import meter, quantiles
 from logloom.operators.admit import admit, split_rejected
 from logloom.operators.envelope import split_errors
 from logloom.plans import flows
 from logloom.plans import inputs as i
 from logloom.plans.limits import ARGS, REFILL, SEGMENT_BYTES, SEGMENT_SECONDS, SEGMENTS, segment_lines
 from logloom.plans.records import ERROR_SQL, error_reason
+from logloom.plans.redaction import RULES
 from logloom.plans.registry import query
 from logloom.sinks import flushes
+from logloom.session import stored
 from logloom.sources.rules import rules_table
 
 
@@ -96,9 +98,14 @@ def m_convert_error(spark, sf):
     return meter.count_by(failed.select(label.alias("label")), "label")
 
 
-@query("m_redact_bytes", "SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source")
+@query(
+    "m_redact_bytes",
+    "SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents WHERE source <> 'src1' GROUP BY source",
+)
 def m_redact_bytes(spark, sf):
-    return meter.sum_by(i.table(spark, sf, "documents"), F.octet_length("text"), "source", name="bytes")
+    """Bytes seen by redaction: of applications with rules, be they their own or the default ones (src1 has an empty set)."""
+    rows = i.table(spark, sf, "documents")
+    return meter.redacted_bytes(rows, RULES, "source", "text")
 
 
 @query(
@@ -128,6 +135,21 @@ def m_latency(spark, sf):
     return _rounded(meter.latency_by(i.logs(spark, sf), "value", exact=True))
 
 
+# Hourly sketches, stored, and rolled up to days; an estimate's share of rows below it is off by 1 % at most.
+@query("m_latency_rollup", f"WITH {i.LOGS} SELECT topic, epoch_us(date_trunc('day', ts)) AS day_us, count(value) AS n, true AS close FROM logs GROUP BY ALL")
+def m_latency_rollup(spark, sf):
+    logs = i.logs(spark, sf)
+    hours = stored(quantiles.sketches(logs, "value", "topic", every="1 hour"), "sketches")
+    days = quantiles.sketched_quantiles(quantiles.merged_sketches(hours, "topic", every="1 day"), (0.5, 0.9, 0.99))
+    dated = logs.select("topic", F.date_trunc("day", "ts").alias("window_start"), "value")
+    shares = [
+        (F.abs(F.count_if(F.col("value") <= F.col(f"p{p}")) / F.count("value") - p / 100) <= F.lit(0.01) + 1 / F.count("value")).alias(f"e{p}")
+        for p in (50, 90, 99)
+    ]
+    checked = dated.join(days, ["topic", "window_start"]).groupBy("topic", "window_start", "n").agg(*shares)
+    return checked.select("topic", F.unix_micros("window_start").alias("day_us"), "n", (F.col("e50") & F.col("e90") & F.col("e99")).alias("close"))
+
+
 @query(
     "m_errors",
     f"""WITH {i.LOGS} SELECT CASE event_id % 5 WHEN 0 THEN 'gcs_buffer_full: ' || topic WHEN 1 THEN 'kafka_admin_refresh_topics'
@@ -285,8 +307,9 @@ def archive_objects(spark, sf):
 
 @query(
     "m_buffer",
-    f"WITH {i.REQUESTS} SELECT r.topic, CAST(arg_max(r.bytes, l.ts) AS INTEGER) AS bytes FROM requests r JOIN logs l USING (event_id) GROUP BY ALL",
+    f"""WITH {i.REQUESTS} SELECT r.topic, CAST(arg_max(r.bytes, (l.ts, r.event_id)) AS INTEGER) AS bytes, 1 AS info
+    FROM requests r JOIN logs l USING (event_id) GROUP BY ALL""",
 )
 def m_buffer(spark, sf):
     sized = i.logs(spark, sf).withColumn("bytes", F.octet_length(F.to_json(F.struct("topic", "timestamp", "content"))))
-    return meter.last_value(sized, "bytes", "topic")
+    return meter.with_info(meter.last_value(sized, "bytes", "topic", seq="event_id"))

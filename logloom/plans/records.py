@@ -10,6 +10,8 @@ from logloom.plans import flows
 from logloom.plans import inputs as i
 from logloom.plans.registry import query
 from logloom.session import spread
+from logloom.sinks import tables
+from logloom.sources.logs import scan_messages
 from logloom.sources.rules import rules_table
 
 
@@ -18,6 +20,29 @@ def log_scan(spark, sf):
     return i.logs(spark, sf).select("event_id", "topic", F.col("timestamp").alias("log_time"), "content")
 
 
+def _written(spark, sf):
+    """The events' records as messages in folders by topic."""
+    out = i.scratch(spark, "scan")
+    headers = F.array().cast("array<struct<key:string,value:binary>>").alias("headers")
+    tables.write_topics(i.logs(spark, sf).select("topic", F.col("event_id").cast("string").alias("value"), headers), out)
+    return out
+
+
+@query("scan_prefix", f"WITH {i.LOGS} SELECT event_id, topic FROM logs WHERE starts_with(topic, 'app_v')")
+def scan_prefix(spark, sf):
+    """Topics announced later are chosen by their prefix alone; only their folders are opened."""
+    found = scan_messages(spark, _written(spark, sf), format="parquet", prefix="app_v")
+    return found.select(F.col("value").cast("long").alias("event_id"), "topic")
+
+
+@query("scan_registered", f"WITH {i.LOGS} SELECT event_id, topic FROM logs WHERE event_type IN ('error', 'click')")
+def scan_registered(spark, sf):
+    """Topics of a table, found while the query runs."""
+    chosen = i.logs(spark, sf).filter(F.col("context.kafka_topic").isin("error", "click")).select("topic").distinct()
+    found = scan_messages(spark, _written(spark, sf), format="parquet", topics=chosen)
+    return found.select(F.col("value").cast("long").alias("event_id"), "topic")
+
+
 @query("topic_prefix_suffix", f"WITH {i.LOGS} SELECT event_id, topic FROM logs WHERE starts_with(topic, 'app_') AND ends_with(topic, 'w_logs')")
 def topic_prefix_suffix(spark, sf):
     return i.logs(spark, sf).filter(topics.matches_affixes(F.col("topic"), "app_", "w_logs")).select("event_id", "topic")

@@ -173,6 +173,21 @@ def stream_archive_flushes(spark, sf):
     return lines.unionByName(dead).groupBy("topic", "outcome").agg(F.count("*").alias("lines"))
 
 
+@query(
+    "stream_index_counters",
+    f"""WITH {i.MESSAGES} SELECT count(*) + (SELECT count(*) FROM logs WHERE event_id % 10 = 9) AS records, CAST(count_if(error IS NULL) AS BIGINT) AS stored,
+    CAST(count_if(error IS NOT NULL) + (SELECT count(*) FROM logs WHERE event_id % 10 = 9) AS BIGINT) AS failed FROM documented""",
+)
+def stream_index_counters(spark, sf):
+    """What an index stream counted in the pass that wrote the index."""
+    out = i.scratch(spark, "counters")
+    streaming.index_stream(
+        i.messages(i.event_stream(spark, sf)), f"{out}/index", f"{out}/dead", f"{out}/checkpoint", INDEX_RULES, clock=F.col("ts"),
+        hooks=streaming.Hooks(counters=f"{out}/counters"),
+    ).awaitTermination()
+    return spark.read.parquet(f"{out}/counters").agg(*[F.sum(c).alias(c) for c in ("records", "stored", "failed")])
+
+
 @query("sink_data_stream", f"WITH {i.MESSAGES} SELECT es_index_prefix AS stream, count(*) AS n FROM documented WHERE error IS NULL GROUP BY ALL")
 def sink_data_stream(spark, sf):
     """Documents appended to data streams, which have no day in their names."""

@@ -16,7 +16,7 @@ WINDOW, LATE = 5, 4
 NAMES = {"key": "key", "ts": "ts", "seq": "seq", "cost": "cost", "max_tps": "max_tps", "window_seconds": WINDOW, "late_seconds": LATE}
 
 
-def arrivals(seed, files=6, count=1500, moving=True):
+def arrivals(seed, files=5, count=700, moving=True):
     """Files of requests, a hot key, jitter within the lateness, nulls; a few requests come far too late."""
     source = random.Random(seed)
     made = [[] for _ in range(files)]
@@ -59,7 +59,7 @@ def test_closed_windows_equal_batch(spark, tmp_path, policy, anchor):
     run = ClosedWindows(f"{tmp_path}/out", f"{tmp_path}/state", **NAMES, policy=policy, anchor=anchor)
     for n, frame in enumerate(batches(spark, files)):
         run(frame, n)
-        if n == 3:  # the same micro-batch again, as after a failure
+        if n == 2:  # the same micro-batch again, as after a failure
             run(frame, n)
     found = closed_verdicts(spark, f"{tmp_path}/out", frame.schema).collect()
     assert len({r["seq"] for r in found}) == len(found)
@@ -74,7 +74,7 @@ def test_closed_windows_equal_batch(spark, tmp_path, policy, anchor):
     late = {r[2] for r in every if known(r)} - {r[2] for r in punctual}
     assert late and {r["seq"] for r in found if r["late"]} == late and not any(r["admitted"] for r in found if r["late"])
     assert {r["seq"] for r in found if r["seq"] not in wanted and r["seq"] not in late} == {r[2] for r in every if not known(r)}
-    assert 100 < sum(a for _, a in wanted.values()) < len(wanted)
+    assert 50 < sum(a for _, a in wanted.values()) < len(wanted)
 
 
 def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
@@ -87,7 +87,7 @@ def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
     found = {r["seq"]: r["admitted"] for r in closed_verdicts(spark, f"{tmp_path}/out", frame.schema).filter("NOT late AND cost IS NOT NULL AND max_tps IS NOT NULL AND ts IS NOT NULL").collect()}
     punctual, _ = in_time(files, "tick")
     batch = {r["seq"]: r["admitted"] for r in admit(spark.createDataFrame(punctual, SCHEMA), cost="cost", window_seconds=WINDOW).collect()}
-    assert len(found) > 1000 and all(batch[s] == a for s, a in found.items())
+    assert len(found) > 400 and all(batch[s] == a for s, a in found.items())
     assert len([p for p in (tmp_path / "state").iterdir()]) == 2  # older states are gone
 
 

@@ -45,17 +45,23 @@ def _walk(value: Column, dtype: T.DataType, path, leaf) -> Column | None:
         return F.when(value.isNotNull(), rebuilt)
     if isinstance(dtype, T.ArrayType):
         below = _join(path, "[]")
-        if _walk(F.lit(None).cast(dtype.elementType), dtype.elementType, below, leaf) is None:
-            return None
-        return F.transform(value, lambda item: _walk(item, dtype.elementType, below, leaf))
+        each = _Each(lambda item: _walk(item, dtype.elementType, below, leaf))
+        made = F.transform(value, lambda item: each(item, item))
+        return made if each.changed else None
     if isinstance(dtype, T.MapType):
-        probe = _join(path, F.lit("."))
-        if _walk(F.lit(None).cast(dtype.valueType), dtype.valueType, probe, leaf) is None:
-            return None
-        return F.transform_values(
-            value,
-            lambda key, item: _walk(
-                item, dtype.valueType, _join(_join(path, "."), key.cast("string")), leaf
-            ),
-        )
+        each = _Each(lambda item, key: _walk(item, dtype.valueType, _join(_join(path, "."), key.cast("string")), leaf))
+        made = F.transform_values(value, lambda key, item: each(item, item, key))
+        return made if each.changed else None
     return leaf(path, value, dtype)
+
+
+class _Each:
+    """The body of a lambda over items, which is walked once however deep it is nested."""
+
+    def __init__(self, walk):
+        self.walk, self.changed = walk, False
+
+    def __call__(self, item, *given):
+        made = self.walk(*given)
+        self.changed = self.changed or made is not None
+        return item if made is None else made

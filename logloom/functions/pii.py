@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from logloom.functions import jsontext
 from logloom.functions.paths import rewrite_leaves
 from logloom.functions.regex import python_regex, replace_all, to_java_regex
+from logloom.functions.shapes import Shape, shaped_or
 
 MARK = "[REDACTED]"
 
@@ -89,12 +90,21 @@ def redact_pii_struct(value: Column, dtype: T.DataType) -> Column:
     return rewrite_leaves(value, dtype, leaf)
 
 
-def redact_pii_json(text: Column, number_format: str = "plain") -> Column:
+def _shaped_leaf(path, column, dtype):
+    """Redact a leaf of a discovered shape: strings, and of the other scalars the numbers."""
+    if isinstance(dtype, T.StringType):
+        return redact_pii(column)
+    told = F.when(~F.schema_of_variant(column).isin("VOID", "BOOLEAN"), F.try_variant_get(column, "$", "string"))
+    return F.coalesce(redact_pii(told).cast("variant"), column)
+
+
+def redact_pii_json(text: Column, number_format: str = "plain", shape: Shape | None = None) -> Column:
     """Redact every string and number leaf of a JSON object given as text.
 
     Objects of unknown shape keep their keys, nulls and mixed arrays, which no typed column
     can hold; text that is not a JSON object gives NULL, for the dead-letter branch.
-    ``number_format="short"`` writes numbers with an exponent from 1e6 upward before redacting.
+    ``number_format="short"`` writes numbers with an exponent from 1e6 upward before redacting. With a
+    ``shape`` found by ``discover`` the plain form stays in built-in expressions, but for misfits.
     """
     chain = [python_regex(_PYTHON.get(kind, pattern)) for kind, pattern in PATTERNS.items()]
     show = jsontext.plain_number if number_format == "plain" else jsontext.short_number
@@ -106,4 +116,8 @@ def redact_pii_json(text: Column, number_format: str = "plain") -> Column:
             value = pattern.sub(MARK, value)
         return value
 
-    return jsontext.rewriter(leaf, objects_only=True)(text)
+    helper = jsontext.rewriter(leaf, objects_only=True)
+    if shape is None or number_format != "plain" or not isinstance(shape.dtype, T.StructType):
+        return helper(text)
+    done = shaped_or(text, shape, _shaped_leaf, helper)
+    return F.when(done.startswith("{"), done)  # of what the shape holds, null alone is no object

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from logloom.functions import jsontext
 from logloom.functions.paths import rewrite_leaves
 from logloom.functions.regex import map_matches, python_regex, replace_all, to_java_regex
+from logloom.functions.shapes import Shape, shaped_or
 
 DEFAULT_APP = "default"
 
@@ -111,10 +112,14 @@ def redact_statics(text: Column, rules) -> Column:
     return text
 
 
-def redact_struct(value: Column, dtype: T.DataType, rules) -> Column:
-    """Path rules on a typed column: matched against field paths while the plan is built."""
+def typed_leaf(rules):
+    """Path rules as a function of one leaf of a typed column, for ``rewrite_leaves``."""
 
     def leaf(path, column, leaf_type):
+        if isinstance(leaf_type, T.VariantType):
+            string = F.when(F.schema_of_variant(column) == "STRING", F.try_variant_get(column, "$", "string"))
+            changed = leaf(path, string, T.StringType())
+            return None if changed is None else F.coalesce(changed.cast("variant"), column)
         if not isinstance(leaf_type, T.StringType):
             return None
         if isinstance(path, Column):
@@ -128,7 +133,12 @@ def redact_struct(value: Column, dtype: T.DataType, rules) -> Column:
                 return mark(column, rule)
         return None
 
-    return rewrite_leaves(value, dtype, leaf)
+    return leaf
+
+
+def redact_struct(value: Column, dtype: T.DataType, rules) -> Column:
+    """Path rules on a typed column: matched against field paths while the plan is built."""
+    return rewrite_leaves(value, dtype, typed_leaf(rules))
 
 
 def _json_leaf(rules):
@@ -171,14 +181,18 @@ def redact_typed_json(text: Column, schema: T.StructType, rules) -> Column:
     return F.coalesce(jsontext.rewriter(_json_leaf(rules), keep_other=True)(others), typed)
 
 
-def redact_text(text: Column, rules: RuleSet, schema: T.StructType | None = None) -> Column:
+def redact_text(text: Column, rules: RuleSet, schema: T.StructType | Shape | None = None) -> Column:
     """A whole rule set over log text: path rules if the text is JSON, then static rules in order.
 
     With ``schema`` the path rules of texts it describes stay in built-in expressions; all other JSON
-    goes through an Arrow-batched helper.
+    goes through an Arrow-batched helper. A ``Shape`` found by ``discover`` gives the same texts as no
+    schema does, and plans no helper where all texts fit it.
     """
     if rules.paths:
-        if schema is None:
+        if isinstance(schema, Shape):
+            helper = jsontext.rewriter(_json_leaf(rules.paths))
+            text = F.coalesce(shaped_or(text, schema, typed_leaf(rules.paths), helper), text)
+        elif schema is None:
             text = F.coalesce(redact_json(text, rules.paths), text)
         else:
             text = redact_typed_json(text, schema, rules.paths)
@@ -186,7 +200,7 @@ def redact_text(text: Column, rules: RuleSet, schema: T.StructType | None = None
 
 
 def redact_by_app(
-    app: Column, text: Column, rules: Mapping[str, RuleSet], schema: T.StructType | None = None
+    app: Column, text: Column, rules: Mapping[str, RuleSet], schema: T.StructType | Shape | None = None
 ) -> Column:
     """Pick the rule set by application: its own rules replace, never extend, the default ones.
 

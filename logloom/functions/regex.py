@@ -52,7 +52,9 @@ def to_java_regex(pattern: str) -> str:
 
     Java matches a repeated group by recursion, so an unbounded group over text of unknown
     length can overflow an executor's stack. At the end of a pattern the group is made
-    possessive, which finds the same match without recursion; anywhere else it is refused.
+    possessive, which finds the same match without recursion. Elsewhere a group of two runs of
+    disjoint classes, such as ``(\\w+\\.)+com``, is restated without recursion (see ``_flat_rounds``);
+    any other is refused.
     """
     multiline = re.search(r"\(\?[a-zA-Z]*m", pattern) is not None
     if re.search(r"\(\?[a-zA-Z]*U", pattern):
@@ -108,9 +110,10 @@ def to_java_regex(pattern: str) -> str:
             out.append(r"(?:\A|(?<=\n))" if multiline else r"\A")
         elif tokens[i + 1 : i + 2] != ["+"] and _unbounded(token) and i - 1 in closed_at and _varies(tokens[closed_at[i - 1] + 1 : i - 1]):
             rest = [t for t in tokens[i + 1 :] if t != ")"]
-            if rest:
+            flat = _flat_rounds(tokens, out, closed_at[i - 1], i, pattern) if rest else token + "+"
+            if flat is None:
                 raise UnsafePattern(f"unbounded group before {''.join(rest)!r} in {pattern!r}")
-            out.append(token + "+")
+            out.append(flat)
         else:
             out.append(token)
     if _may_be_empty(pattern):
@@ -118,6 +121,70 @@ def to_java_regex(pattern: str) -> str:
     return "".join(out)
 
 
+# Lookbehinds of a restated group are as long as its counts, so these stay small.
+MAX_COUNT = 255
+_PLAIN_GROUP = re.compile(r"\(|\(\?:|\(\?P?<\w+>")
+
+
+def _flat_rounds(tokens: list[str], out: list[str], opened: int, at: int, pattern: str) -> str | None:
+    """What to write instead of the quantifier at ``at``, so that no group repeats without bound; None if unproven.
+
+    For a group ``P{a,b}Q{c,d}`` whose classes P and Q share no character, a text splits into rounds in
+    one way only, and the ends at which a greedy loop may stop, from the longest, are those of a run over
+    ``[PQ]`` in which lookbehinds hold every inner run to its counts. ``(PQ){n,}`` thus becomes
+    ``(PQ){n}`` and an optional run of single characters, which Java matches without recursion.
+    """
+    least = {"+": 1, "*": 0}.get(tokens[at]) if tokens[at] in "+*" else int(tokens[at][1:-2])
+    pieces = _pieces(tokens, out, opened + 1, at - 1)
+    if tokens[at + 1] == "?" or not 1 <= least <= MAX_COUNT or not _PLAIN_GROUP.fullmatch(tokens[opened]) or pieces is None:
+        return None
+    (p, p_set, a, b), (q, q_set, c, d) = pieces
+    letters = _characters(p_set, pattern), _characters(q_set, pattern)
+    if None in letters or letters[0] & letters[1] or not (1 <= a <= MAX_COUNT and 1 <= c <= MAX_COUNT) or max(b or 0, d or 0) > MAX_COUNT:
+        return None
+    held = [
+        f"(?<!{q}{p}{{1,{a - 1}}}{q})" if a > 1 else "", f"(?<!{p}{{{b + 1}}})" if b else "",
+        f"(?<!{p}{q}{{1,{c - 1}}}{p})" if c > 1 else "", f"(?<!{q}{{{d + 1}}})" if d else "",
+    ]
+    count = "" if least == 1 else f"{{{least}}}"
+    return f"{count}(?:(?={p})(?:[{p}{q}]{''.join(held)})+(?<={q}{{{c}}}))?"
+
+
+def _pieces(tokens: list[str], out: list[str], start: int, end: int) -> list[tuple[str, str, int, int | None]] | None:
+    """The group's two character classes with their counts: (Java class, RE2 text, least, most)."""
+    found, i = [], start
+    while i < end:
+        first = i
+        if tokens[i] == "[" or tokens[i] == "[^":
+            i = tokens.index("]", i + 1)
+        elif tokens[i][0] in "[(|^$*+?{.)" or tokens[i].startswith((r"\Q", r"\b", r"\B", r"\A", r"\z")):
+            return None
+        i += 1
+        java, text = "".join(out[first + 1 : i + 1]), "".join(tokens[first:i])
+        if text[0] not in "[\\":
+            java = re.sub(r"([^0-9A-Za-z\x80-\U0010ffff])", r"\\\1", java)
+        low, high = 1, 1
+        if i < end and _QUANTIFIER.fullmatch(tokens[i]):
+            counts = {"*": (0, None), "+": (1, None), "?": (0, 1)}.get(tokens[i])
+            if counts is None:
+                least, comma, most = tokens[i][1:-1].partition(",")
+                counts = int(least), int(most) if most else None if comma else int(least)
+            (low, high), i = counts, i + 1
+        found.append((java, text, low, high))
+    return found if len(found) == 2 else None
+
+
+def _characters(text: str, pattern: str) -> set[int] | None:
+    """The ASCII characters of a class, and 128 for any beyond; more than it has where case is ignored."""
+    folded = re.IGNORECASE if re.search(r"\(\?[a-zA-Z]*i", pattern) else 0
+    try:
+        compiled = re.compile(python_regex(text).pattern, re.ASCII | folded)
+    except (re.error, UnsafePattern):
+        return None
+    wide = re.search(r"\[\^|\\[WDSxpP]|\[:\^|[^\x00-\x7f]", text) is not None
+    return {c for c in range(128) if compiled.fullmatch(chr(c))} | ({128} if wide or folded and compiled.search("\u017f\u212a") else set())
+
+
 def _starts_with_word(tokens: list[str], i: int) -> bool:
     """Whether the text matched from token ``i`` on surely begins with a word character."""
     if i < len(tokens) and tokens[i] == "[" and "]" in tokens[i:]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logloom.functions.document import index_name, ingest_stamp, rate_key, topic_name
 from logloom.functions.redact import RuleSet, redact_by_app
 from logloom.operators.admit import admit, split_rejected
+from logloom.operators.discover import discover
 from logloom.operators.documents import archive_lines, search_documents
 from logloom.operators.envelope import decode, encode_collection, explode_batch
 from logloom.operators.ruletable import RuleTable, redact_by_table
@@ -46,7 +47,8 @@ def to_index(
     """Decode, route, make search documents and redact them; failures carry ``error``.
 
     ``rules`` is a mapping, a rule table (many applications), or any function of the application and the
-    text to a text, both columns.
+    text to a text, both columns. With ``content_schema="discover"`` the shape of the documents is found
+    first, by a job over ``messages``, and path rules stay in built-in expressions but for misfits.
     """
     prefix = F.col("context.es_index_prefix")
     when = F.current_timestamp() if clock is None else clock
@@ -56,6 +58,9 @@ def to_index(
         return redact_by_table(named.withColumn("_app", prefix), rules, "_app", "document").drop("_app")
     if callable(rules):
         return named.withColumn("document", rules(prefix, F.col("document")))
+    if content_schema == "discover":
+        by_path = isinstance(rules, Mapping) and any(rule_set.paths for rule_set in rules.values())
+        content_schema = discover(named, "document") if by_path else None
     return named.withColumn("document", redact_by_app(prefix, F.col("document"), rules, content_schema))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from logloom.functions import pii
 from logloom.functions import redact as r
+from logloom.operators.discover import discover
 from logloom.operators.ruletable import compile_rules, redact_by_table
 from logloom.plans import inputs as i
 from logloom.plans.registry import query
@@ -122,22 +123,31 @@ def redact_ruleset_any_json(spark, sf):
     return _fields(lines.select("doc_id", r.redact_text(F.col("line"), RULESET).alias("line")))
 
 
+@query("redact_ruleset_discovered", _RULESET_SQL)
+def redact_ruleset_discovered(spark, sf):
+    """As ``redact_ruleset``, with the schema found in the lines."""
+    lines = _json_texts(spark, sf)
+    return _fields(lines.select("doc_id", r.redact_text(F.col("line"), RULESET, discover(lines, "line")).alias("line")))
+
+
 MIXED = r.RuleSet(paths=(r.PathRule("LANG", r"\.lang$"),))
 MIXED_TYPE = T.StructType().add("lang", "string").add("n", "integer")
 
 
-@query(
-    "redact_mixed_json",
-    """SELECT doc_id, '[LANG REDACTED]' AS lang, CASE doc_id % 4 WHEN 2 THEN source ELSE CAST(n_chars AS VARCHAR) END AS n,
-      CASE doc_id % 4 WHEN 1 THEN text END AS extra FROM documents""",
-)
-def redact_mixed_json(spark, sf):
+_MIXED_SQL = """SELECT doc_id, '[LANG REDACTED]' AS lang, CASE doc_id % 4 WHEN 2 THEN source ELSE CAST(n_chars AS VARCHAR) END AS n,
+      CASE doc_id % 4 WHEN 1 THEN text END AS extra FROM documents"""
+
+
+def _mixed_lines(spark, sf):
     """Every document as a line that the schema fits, that has another field, another type, or is an array."""
     shape = F.col("doc_id") % 4
     fits, more, other = F.struct("lang", F.col("n_chars").alias("n")), F.struct("lang", "text", F.col("n_chars").alias("n")), F.struct("lang", F.col("source").alias("n"))
     line = F.when(shape == 0, F.to_json(fits)).when(shape == 1, F.to_json(more)).when(shape == 2, F.to_json(other)).otherwise(F.to_json(F.array(fits)))
-    rows = spread(i.table(spark, sf, "documents")).select("doc_id", line.alias("line"))
-    done = rows.select("doc_id", r.redact_text(F.col("line"), MIXED, MIXED_TYPE).alias("line"))
+    return spread(i.table(spark, sf, "documents")).select("doc_id", line.alias("line"))
+
+
+def _mixed_redacted(rows, schema):
+    done = rows.select("doc_id", r.redact_text(F.col("line"), MIXED, schema).alias("line"))
     inside = F.when(F.col("line").startswith("["), F.get_json_object("line", "$[0]")).otherwise(F.col("line"))
     return done.select("doc_id", inside.alias("line")).select(
         "doc_id", F.get_json_object("line", "$.lang").alias("lang"), F.get_json_object("line", "$.n").alias("n"),
@@ -145,6 +155,18 @@ def redact_mixed_json(spark, sf):
     )
 
 
+@query("redact_mixed_json", _MIXED_SQL)
+def redact_mixed_json(spark, sf):
+    return _mixed_redacted(_mixed_lines(spark, sf), MIXED_TYPE)
+
+
+@query("redact_mixed_discovered", _MIXED_SQL)
+def redact_mixed_discovered(spark, sf):
+    """One type holds all objects; the arrays are counted as misfits and go through the helper."""
+    lines = _mixed_lines(spark, sf)
+    return _mixed_redacted(lines, discover(lines, "line"))
+
+
 _WORD_SQL = r"regexp_replace(text, '(?i)\b(the|und|des)\b', '[WORD REDACTED]', 'g')"
 BY_APP_SQL = f"""CASE source WHEN 'src0' THEN {_WORD_SQL} WHEN 'src1' THEN text WHEN 'src2' THEN {_replaced("text", NUMBER)}
   WHEN 'src3' THEN {_replaced("text", NUMBER)} ELSE {_replaced(_replaced("text", EMAIL), NUMBER)} END"""
@@ -235,15 +257,28 @@ def pii_json(spark, sf):
     )
 
 
-@query(
-    "pii_any_json",
-    f"""SELECT conv_id, turn, {_chain_sql("text")} AS text, {_chain_sql("CAST(conv_id * 100000001 AS VARCHAR)")} AS account FROM conversations""",
-)
-def pii_any_json(spark, sf):
-    lines = spread(i.table(spark, sf, "conversations")).select(
+_PII_LINES_SQL = f"""SELECT conv_id, turn, {_chain_sql("text")} AS text, {_chain_sql("CAST(conv_id * 100000001 AS VARCHAR)")} AS account FROM conversations"""
+
+
+def _pii_lines(spark, sf):
+    return spread(i.table(spark, sf, "conversations")).select(
         "conv_id", "turn", F.to_json(F.struct("text", F.array(F.col("conv_id") * 100000001).alias("accounts"))).alias("line")
     )
-    done = lines.select("conv_id", "turn", pii.redact_pii_json(F.col("line")).alias("line"))
+
+
+def _pii_fields(lines, shape=None):
+    done = lines.select("conv_id", "turn", pii.redact_pii_json(F.col("line"), shape=shape).alias("line"))
     return done.select(
         "conv_id", "turn", F.get_json_object("line", "$.text").alias("text"), F.get_json_object("line", "$.accounts[0]").alias("account")
     )
+
+
+@query("pii_any_json", _PII_LINES_SQL)
+def pii_any_json(spark, sf):
+    return _pii_fields(_pii_lines(spark, sf))
+
+
+@query("pii_discovered_json", _PII_LINES_SQL)
+def pii_discovered_json(spark, sf):
+    lines = _pii_lines(spark, sf)
+    return _pii_fields(lines, discover(lines, "line"))

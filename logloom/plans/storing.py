@@ -51,9 +51,8 @@ def _index_rows(documents):
     )
 
 
-@query("index_flow", f"WITH {i.MESSAGES} {_INDEXED}")
-def index_flow(spark, sf):
-    made = flows.to_index(i.messages(spark, sf), INDEX_RULES, F.col("ts")).filter("error IS NULL")
+def _index_flow(spark, sf, **options):
+    made = flows.to_index(i.messages(spark, sf), INDEX_RULES, F.col("ts"), **options).filter("error IS NULL")
     return made.select(
         "event_id", "position", "index_name",
         F.regexp_extract("document", '"@timestamp":"([^"]*)"', 1).alias("at_timestamp"),
@@ -61,6 +60,17 @@ def index_flow(spark, sf):
     )
 
 
+@query("index_flow", f"WITH {i.MESSAGES} {_INDEXED}")
+def index_flow(spark, sf):
+    return _index_flow(spark, sf)
+
+
+@query("index_flow_discovered", f"WITH {i.MESSAGES} {_INDEXED}")
+def index_flow_discovered(spark, sf):
+    """Path rules by the shape found in the documents, without a Python stage."""
+    return _index_flow(spark, sf, content_schema="discover")
+
+
 _INDEX_COUNTS = f"WITH {i.MESSAGES}, d AS ({_INDEXED}) SELECT index_name, at_timestamp, k, count(*) AS n FROM d GROUP BY ALL"
 
 
@@ -92,6 +102,16 @@ def stream_index(spark, sf):
     return _counted(spark.read.parquet(f"{out}/index"))
 
 
+@query("stream_index_discovered", _INDEX_COUNTS)
+def stream_index_discovered(spark, sf):
+    """Each micro-batch redacted by the shape found in it."""
+    out = i.scratch(spark, "stream-index")
+    streaming.index_stream(
+        i.messages(i.event_stream(spark, sf)), f"{out}/index", f"{out}/dead", f"{out}/checkpoint", INDEX_RULES, clock=F.col("ts"), content_schema="discover"
+    ).awaitTermination()
+    return _counted(spark.read.parquet(f"{out}/index"))
+
+
 _ARCHIVED = f"""SELECT topic, content = '[7]' AS listed, CAST({_K} AS BIGINT) AS k, count(*) AS n FROM documented WHERE content IS NOT NULL GROUP BY ALL"""
 
 

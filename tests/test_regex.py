@@ -52,3 +52,40 @@ def test_python_paths_match_as_re2(pattern, path, found):
 def test_properties_are_refused_in_paths():
     with pytest.raises(UnsafePattern):
         python_regex(r"\pL")
+
+
+LOOPS = [
+    r"(\w+\.)+com", r"(\d{1,3}\.){3,}\d+", r"(?:[ab]+-)+a", r"(\.\w+)+\.com", r"(?P<n>\w+\s+)+x", r"(a{2,3}[.-]{1,2})+a", r"(?i)([a-c]+\.)+COM\b",
+    r"([^.]\.){2,}a", r"\b(b+,)+b", r"(?:[[:alpha:]]{2,}-{2,})+b", r"x(\w+\.)+$", r"((?:a+)\.)b|(c+-)+a", r"([ab]{2}\.)+[abc.]", r"(\x61+\x{2e})+c",
+]
+
+
+@pytest.mark.parametrize("pattern", LOOPS)
+def test_flat_rounds_match_as_re2(spark, pattern):
+    import random
+
+    draw = random.Random(7)
+    words = ["a", "b", "aa", "ab", "aab", "c", "com", "x", ".", ".", "..", "-", "--", ",", " ", "\n", "1", "12", "123", "1234", "é", "com."]
+    texts = ["".join(draw.choice(words) for _ in range(draw.randint(0, 24))) for _ in range(600)] + TEXTS
+    texts += ["ip 10.0.0.255 and 1234.1.2.3.4, 1.2.3.", "a.b.com.x.com-", "1.2.3.4.5 22.33.44.55"]
+    with duckdb.connect() as db:
+        wanted = [db.execute("SELECT regexp_replace(?, ?, '<>', 'g')", [t, pattern]).fetchone()[0] for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    found = [row.r for row in rows.select(replace_all(F.col("t"), to_java_regex(pattern), "<>").alias("r")).collect()]
+    assert found == wanted
+    assert pattern.startswith("x(") or found != texts
+
+
+@pytest.mark.parametrize(
+    "pattern", [r"(\w+\d)+x", r"(\w+\.|a)+x", r"((\w+)\.)+x", r"(?i)([a-z]+K)+x", r"(.+,)+x", r"(\w+\.)+?x", r"(\w+\.?)+x", r"(\w{1,999}\.)+x"]
+)
+def test_loops_without_a_proof_stay_refused(pattern):
+    with pytest.raises(UnsafePattern):
+        to_java_regex(pattern)
+
+
+def test_flat_rounds_need_no_stack(spark):
+    texts = [("ab." * 400_000 + "com",), ("1.22." * 300_000 + "9",)]
+    rows = spark.createDataFrame(texts, "t string")
+    found = [r[0] for r in rows.select(replace_all(replace_all(F.col("t"), to_java_regex(LOOPS[0]), "<>"), to_java_regex(LOOPS[1]), "##")).collect()]
+    assert found == ["<>", "##"]

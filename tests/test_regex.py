@@ -67,7 +67,7 @@ def test_flat_rounds_match_as_re2(spark, pattern):
     draw = random.Random(7)
     words = ["a", "b", "aa", "ab", "aab", "c", "com", "x", ".", ".", "..", "-", "--", ",", " ", "\n", "1", "12", "123", "1234", "é", "com."]
     texts = ["".join(draw.choice(words) for _ in range(draw.randint(0, 24))) for _ in range(600)] + TEXTS
-    texts += ["ip 10.0.0.255 and 1234.1.2.3.4, 1.2.3.", "a.b.com.x.com-", "1.2.3.4.5 22.33.44.55"]
+    texts += ["ip 10.0.0.255 and 1234.1.2.3.4, 1.2.3.", "a.b.com.x.com-", "1.2.3.4.5 22.33.44.55", "b,bb,b", "ab--aab--b", "a b x", "aa.-aaa-a", "x.y.com"]
     with duckdb.connect() as db:
         wanted = [db.execute("SELECT regexp_replace(?, ?, '<>', 'g')", [t, pattern]).fetchone()[0] for t in texts]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")

@@ -151,18 +151,42 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
-def train(known: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", label: str = "quality") -> Trees:
-    """Trees from the stored statistics of labelled rows that are not held out; null labels teach nothing."""
-    labelled = labels.select(F.col(key).alias("lk"), F.col(label).alias("y")).filter(F.col("y").isNotNull() & ~held_out(F.col("lk")))
-    joined = stored(known.join(labelled, known[key] == F.col("lk")).select("x", "y", "lk"), "labelled")
-    count = joined.count()
-    # rows by the order of their keys' hashes, thinned before they are ordered: otherwise every
-    # partition would send up to `rows` rows to the driver
+def _labelled(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """lk and y of the labels that may be learnt from; null labels teach nothing."""
+    return labels.select(F.col(key).alias("lk"), F.col(label).alias("y")).filter(F.col("y").isNotNull() & ~held_out(F.col("lk")))
+
+
+def _thinned(joined: DataFrame, rows: int) -> tuple[DataFrame, Column]:
+    """About the first ``rows`` rows by the order of their keys' hashes, a few more at most, and that order.
+
+    Thinned before they are ordered: otherwise every partition would send up to ``rows`` rows to the driver.
+    """
     place = F.pmod(F.xxhash64("lk"), F.lit(1 << 30))
-    thinned = joined.filter(place < int(min(1.0, 1.1 * rows / max(1, count)) * (1 << 30)))
-    sample = thinned.orderBy(place, "lk", "y").limit(rows).select("x", "y").collect()
-    x = np.array([r["x"] for r in sample], dtype=np.float32).reshape(-1, len(STATISTICS))
-    return fit(x, np.array([1.0 if r["y"] > 0 else 0.0 for r in sample]))
+    return joined.filter(place < int(min(1.0, 1.1 * rows / max(1, joined.count())) * (1 << 30))), place
+
+
+def _fitted(sample: DataFrame, place: Column, rows: int) -> Trees:
+    found = sample.orderBy(place, "lk", "y", "x").limit(rows).select("x", "y").collect()
+    x = np.array([r["x"] for r in found], dtype=np.float32).reshape(-1, len(STATISTICS))
+    return fit(x, np.array([1.0 if r["y"] > 0 else 0.0 for r in found]))
+
+
+def train(known: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", label: str = "quality") -> Trees:
+    """Trees from the stored statistics of labelled rows that are not held out."""
+    joined = known.join(_labelled(labels, key, label), known[key] == F.col("lk")).select("x", "y", "lk")
+    return _fitted(*_thinned(stored(joined, "labelled"), rows), rows)
+
+
+def train_on_texts(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text", label: str = "quality") -> Trees:
+    """As ``train``, with statistics of the rows it learns from only; keys alone are joined to choose these."""
+    labelled = _labelled(labels, key, label)
+    keys = stored(docs.select(F.col(key).alias("k")).join(labelled, F.col("k") == F.col("lk")).select("lk", "y"), "labelled")
+    thinned, place = _thinned(keys, rows)
+    chosen = stored(thinned.orderBy(place, "lk", "y").limit(rows).distinct(), "chosen")  # up to `rows` short rows
+    narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    texts = narrow.join(F.broadcast(chosen.select("lk").distinct()), F.col("k") == F.col("lk"), "left_semi")
+    known = document_statistics(texts, "k", "t")
+    return _fitted(known.join(F.broadcast(chosen), F.col("k") == F.col("lk")).select("x", "y", "lk"), place, rows)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
@@ -189,8 +213,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, th
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """``docs`` without the rows whose text the classifier rejects."""
-    known = stored(document_statistics(docs, key, text), "statistics")
-    trees = docs.sparkSession.sparkContext.broadcast(train(known, labels, rows, key, label))
+    trees = docs.sparkSession.sparkContext.broadcast(train_on_texts(docs, labels, rows, key, text, label))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

@@ -4,10 +4,11 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check import compare
-from logloom.llm import license_scan
+from logloom.llm import license_scan, quality
 from logloom.llm.quality import STATISTICS, statistics
 
 from . import brute
@@ -40,6 +41,16 @@ def test_quality(spark, folders, name):
         assert 0 <= score <= 1 and predicted == int(score >= 0.3)
 
 
+@pytest.mark.parametrize("rows", [20_000, 50])
+def test_quality_learns_alike_from_chosen_texts(spark, folders, rows):
+    for folder in [*folders.values(), "/root/testdata/sf0.001"]:
+        docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+        docs = docs.withColumns({"lk": F.lit("clash"), "y": F.lit(1)})
+        one = quality.train(quality.document_statistics(docs), labels, rows)
+        other = quality.train_on_texts(docs, labels, rows)
+        assert one.base == other.base and all((getattr(one, f) == getattr(other, f)).all() for f in ("feature", "threshold", "leaf"))
+
+
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     label = {r["doc_id"]: r["quality"] for r in brute.table(sf, "labels")}

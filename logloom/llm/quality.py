@@ -182,11 +182,13 @@ def train_on_texts(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, k
     labelled = _labelled(labels, key, label)
     keys = stored(docs.select(F.col(key).alias("k")).join(labelled, F.col("k") == F.col("lk")).select("lk", "y"), "labelled")
     thinned, place = _thinned(keys, rows)
-    chosen = stored(thinned.orderBy(place, "lk", "y").limit(rows).distinct(), "chosen")  # up to `rows` short rows
+    chosen = stored(thinned.orderBy(place, "lk", "y").limit(rows).select("lk").distinct(), "chosen")  # up to `rows` keys
     narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    texts = narrow.join(F.broadcast(chosen.select("lk").distinct()), F.col("k") == F.col("lk"), "left_semi")
+    texts = narrow.join(F.broadcast(chosen), F.col("k") == F.col("lk"), "left_semi")
     known = document_statistics(texts, "k", "t")
-    return _fitted(known.join(F.broadcast(chosen), F.col("k") == F.col("lk")).select("x", "y", "lk"), place, rows)
+    # all labels of these keys, for rows and labels may be repeated
+    mine = labelled.join(F.broadcast(chosen), "lk", "left_semi")
+    return _fitted(known.join(mine, F.col("k") == F.col("lk")).select("x", "y", "lk"), place, rows)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:

@@ -85,7 +85,7 @@ def test_loops_without_a_proof_stay_refused(pattern):
 
 
 def test_flat_rounds_need_no_stack(spark):
-    texts = [("ab." * 400_000 + "com",), ("1.22." * 300_000 + "9",)]
-    rows = spark.createDataFrame(texts, "t string")
-    found = [r[0] for r in rows.select(replace_all(replace_all(F.col("t"), to_java_regex(LOOPS[0]), "<>"), to_java_regex(LOOPS[1]), "##")).collect()]
-    assert found == ["<>", "##"]
+    # each text with its own pattern: where a pattern matches nowhere, Java tries every start of a run
+    for pattern, text in ((LOOPS[0], "ab." * 400_000 + "com"), (LOOPS[1], "1.22." * 300_000 + "9")):
+        rows = spark.createDataFrame([(text,)], "t string")
+        assert rows.select(replace_all(F.col("t"), to_java_regex(pattern), "<>")).first()[0] == "<>"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.document import topic_options
 from logloom.functions.regex import to_java_regex
+from logloom.session import stored
 
 
 def matches_affixes(topic: Column, prefix: str, suffix: str | None = None) -> Column:
@@ -30,14 +31,19 @@ def topic_events(
 ) -> DataFrame:
     """One creation event per unseen topic, with the options of its first record.
 
-    The unseen topics are found on the topic column alone; only their rows are then looked at
-    for the first one, by a map-side combined minimum.
+    The first value of the leading ``order`` column is found by a hash aggregation, combined before the
+    shuffle, which holds a value a topic. Only unseen topics' records that have it are then compared by
+    the other columns: records are neither shuffled by topic nor sorted whole.
     """
-    unseen = new_topics(logs, registry)
-    options = topic_options(F.col("context"), ignore_options)
+    options = topic_options(F.col("context"), ignore_options).alias("options")
+    lead = F.col(order[0]) if order else F.lit(0)
+    # nulls come first, as in the order of structs
+    earliest = logs.groupBy("topic").agg(F.when(F.count_if(lead.isNull()) == 0, F.min(lead)).alias("_lead"))
+    unseen = earliest.join(registry.select("topic").distinct(), "topic", "left_anti").withColumnRenamed("topic", "_topic")
     first = (
-        logs.join(unseen, "topic", "left_semi")
+        logs.join(stored(unseen, "unseen"), (F.col("topic") == F.col("_topic")) & lead.eqNullSafe(F.col("_lead")))
+        .select("topic", F.struct(*order, options).alias("record"))
         .groupBy("topic")
-        .agg(F.min(F.struct(*order, options.alias("options"))).alias("first"))
+        .agg(F.min("record").alias("first"))
     )
     return first.select("topic", "first.options.partitions", "first.options.replication")

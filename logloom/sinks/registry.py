@@ -33,7 +33,7 @@ def register_topics(logs: DataFrame, path: str, batch_id: int, order: list[str],
     known = read_registry(spark, path).filter(F.col("batch_id") < batch_id)
     target = f"{path.rstrip('/')}/batch_id={batch_id}"
     unseen = topic_events(logs, known, order, ignore_options).select("topic", F.col("partitions").cast("int"), F.col("replication").cast("int"))
-    unseen.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(target)  # one small row a topic
+    unseen.repartition(1).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(target)  # small rows, one a topic; what finds them stays spread
     added = read_registry(spark, path).filter(F.col("batch_id") == batch_id)
     if announce is not None:
         announce(added)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators.segments import flush_segments
+from logloom.operators.topics import topic_events
 from logloom.sinks import flushes, registry
 from logloom.streaming import flows as streaming
 
@@ -103,6 +104,15 @@ def test_each_topic_is_registered_once_whatever_is_replayed(spark, tmp_path):
     assert registry.read_registry(spark, str(tmp_path / "none")).collect() == []
 
 
+def test_first_records_are_found_without_a_shuffle_of_records(spark):
+    rows = [("a", 2, 9), ("a", 1, 3), ("a", 1, 2), ("b", None, 5), ("b", 1, 4), ("c", 7, None), ("c", 7, 1), ("d", 1, 1), (None, 1, 1), ("a", 1, 2)]
+    unsized = logs(spark, rows)
+    unsized = spark.createDataFrame(unsized.rdd, unsized.schema)  # as a micro-batch: nobody knows how large it is
+    found = topic_events(unsized, spark.createDataFrame([("d",)], "topic string"), ["at"])
+    assert sorted((r.topic, r.partitions) for r in found.collect()) == [("a", 2), ("b", 5), ("c", None)]
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_the_registry_of_a_restarted_stream(spark, tmp_path):
     for n, topics in enumerate((["a", "b"], ["b", "c"], ["a"])):
         spark.createDataFrame([(t, n) for t in topics], "topic string, at int").write.parquet(f"{tmp_path}/in/{n}")

@@ -2,20 +2,75 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-_COLUMNS = ["key", "ts", "seq", "cost", "quota", "known"]
+_FIELDS = 6  # of a request: ts, seq, whether it has a seq, cost, quota, known
+_WAITING = 1 << 17  # requests in memory
 _STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("window", "quota", "used", "last")])
 
 
+def _sorted(parts: list[np.ndarray]) -> np.ndarray:
+    rows = np.concatenate(parts)
+    return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+
+
+def _by_time(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+    """A key's requests in order of (ts, seq), equal ones as they came, in blocks of ``_WAITING`` at most.
+
+    Sorted runs of so many wait in a temporary file and are merged; requests that fit memory touch no disk.
+    """
+    size = 8 * _FIELDS
+    with tempfile.SpooledTemporaryFile(_WAITING * size) as file:
+        held, count, unread, end = [], 0, [], 0  # unread: where each run goes on, where it ends
+        for frame in frames:
+            held.append(frame.iloc[:, 1:].to_numpy(np.int64))
+            count += len(frame)
+            if count >= _WAITING:
+                end += file.write(_sorted(held).tobytes())
+                unread.append([end - count * size, end])
+                held, count = [], 0
+        if held:  # the last run stays in memory
+            unread.append([end, end])
+        share = max(_WAITING // max(len(unread), 1), 1)
+        ahead = [np.empty((0, _FIELDS), np.int64)] * len(unread)
+        if held:
+            ahead[-1] = _sorted(held)
+            del held
+        while True:
+            for n, (at, stop) in enumerate(unread):
+                if at < stop and not len(ahead[n]):
+                    file.seek(at)
+                    ahead[n] = np.frombuffer(file.read(min(share * size, stop - at)), np.int64).reshape(-1, _FIELDS)
+                    unread[n][0] += ahead[n].nbytes
+            # nothing unread comes before the last row read of its run
+            known = min(((*ahead[n][-1, :2].tolist(), n) for n, (at, stop) in enumerate(unread) if at < stop), default=None)
+            ready = [len(rows) if known is None else _until(rows, known, n) for n, rows in enumerate(ahead)]
+            if not sum(ready):
+                return
+            block = _sorted([rows[:n] for rows, n in zip(ahead, ready, strict=True)])
+            ahead = [rows[n:] for rows, n in zip(ahead, ready, strict=True)]
+            yield from (block[n : n + _WAITING] for n in range(0, len(block), _WAITING))
+
+
+def _until(rows: np.ndarray, known: tuple[int, int, int], run: int) -> int:
+    """How many sorted rows come before ``known``, or are equal to it and not of a later run."""
+    ts, seq, of = known
+    low, high = np.searchsorted(rows[:, 0], [ts, ts + 1])
+    return int(low + np.searchsorted(rows[low:high, 1], seq, "right" if run <= of else "left"))
+
+
 class Bucket(StatefulProcessor):
     """Window, quota and tokens of one key; requests are taken in order of (ts, seq) within a
     micro-batch, however its rows are cut into Arrow batches. A late request counts against the
-    current window."""
+    current window. However many requests a key has, a block of them is in memory."""
 
     def __init__(self, window_seconds: int, policy: str, anchor: str, idle_seconds: int | None):
         self._width = window_seconds * 1_000_000
@@ -26,16 +81,15 @@ class Bucket(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         state = tuple(self._state.get()) if self._state.exists() else None
-        # five numbers a request: a key's share of a micro-batch, whose size the source's limits bound
-        batch = pd.concat([b.set_axis(_COLUMNS, axis="columns") for b in rows])
-        batch = batch.sort_values(["ts", "seq"], kind="stable").reset_index(drop=True)
-        verdicts = []
-        for at, cost, quota, known in zip(batch["ts"], batch["cost"], batch["quota"], batch["known"], strict=True):
-            verdict = False  # without a time, cost or quota: refused, and nothing changes
-            if known:
-                state, verdict = self._take(state, int(at), int(cost), int(quota))
-            verdicts.append(verdict)
-        yield pd.DataFrame({"key": key[0], "seq": batch["seq"], "cost": batch["cost"], "admitted": verdicts})
+        for block in _by_time(rows):
+            verdicts = []
+            for at, _, _, cost, quota, known in block.tolist():
+                verdict = False  # without a time, cost or quota: refused, and nothing changes
+                if known:
+                    state, verdict = self._take(state, at, cost, quota)
+                verdicts.append(verdict)
+            seq = pd.Series(block[:, 1], dtype="Int64").mask(block[:, 2] == 0)
+            yield pd.DataFrame({"key": key[0], "seq": seq, "cost": block[:, 3], "admitted": verdicts})
         if state is not None:
             self._state.update(state)
 
@@ -81,14 +135,15 @@ def admit_stream(
     never drains.
     """
     quota = (F.lit(max_tps) if isinstance(max_tps, int) else F.col(max_tps)).cast("long") * window_seconds
-    at, price = F.unix_micros(F.col(ts)), (F.lit(1) if cost is None else F.col(cost)).cast("long")
+    at, number, price = F.unix_micros(F.col(ts)), F.col(seq).cast("long"), (F.lit(1) if cost is None else F.col(cost)).cast("long")
     rows = requests.select(  # no nulls among numbers: pandas would make them all floats
         F.col(key).alias("_key"),
         F.coalesce(at, F.lit(0)).alias("_ts"),
-        F.col(seq).cast("long").alias("_seq"),
+        F.coalesce(number, F.lit(2**63 - 1)).alias("_seq"),  # those without a number come last
+        number.isNotNull().cast("long").alias("_numbered"),
         F.coalesce(price, F.lit(0)).alias("_cost"),
         F.coalesce(quota, F.lit(0)).alias("_quota"),
-        (at.isNotNull() & price.isNotNull() & quota.isNotNull()).alias("_known"),
+        (at.isNotNull() & price.isNotNull() & quota.isNotNull()).cast("long").alias("_known"),
     )
     out = T.StructType(
         [

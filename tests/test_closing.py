@@ -1,13 +1,17 @@
 """Streaming admission at window close against batch admission, over many micro-batches, late rows and restarts."""
 
 import random
+import tracemalloc
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators.admit import admit
-from logloom.streaming.admit import admit_stream
+from logloom.streaming import admit as streaming_admit
+from logloom.streaming.admit import Bucket, admit_stream
 from logloom.streaming.closing import ClosedWindows, admit_closed, closed_verdicts
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -105,3 +109,53 @@ def test_nulls_do_not_end_the_immediate_stream(spark, tmp_path, anchor):
     found = {r["seq"]: r["admitted"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert found == {n: n < 5 for n in range(13)}
     assert spark.read.parquet(f"{tmp_path}/out").agg(F.count("*")).first()[0] == 13
+
+
+class Held:
+    """A state of one key, in memory."""
+
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def frames(ts, seq, cost, size=512):
+    rows = pd.DataFrame({"key": "k", "ts": ts, "seq": seq, "numbered": 1, "cost": cost, "quota": 40, "known": 1})
+    return (rows[n : n + size] for n in range(0, len(rows), size))
+
+
+@pytest.mark.parametrize("waiting", [7, 100, 5000])
+def test_requests_that_wait_in_files_are_taken_in_order(monkeypatch, waiting):
+    monkeypatch.setattr(streaming_admit, "_WAITING", waiting)
+    source = np.random.default_rng(waiting)
+    ts, seq, cost = source.integers(0, 60, 3000) * 1_000_000, source.integers(0, 9, 3000), source.integers(1, 9, 3000)
+    bucket = Bucket(WINDOW, "refill", "first_hit", None)
+    bucket._state = Held()
+    found = list(bucket.handleInputRows(("k",), frames(ts, seq, cost, 11), None))
+    order, state, wanted = np.lexsort((seq, ts)), None, []
+    for n in order:
+        state, verdict = bucket._take(state, int(ts[n]), int(cost[n]), 40)
+        wanted.append((int(seq[n]), int(cost[n]), verdict))
+    assert [tuple(r) for f in found for r in f[["seq", "cost", "admitted"]].itertuples(index=False)] == wanted
+    assert bucket._state.value == state and max(map(len, found)) <= waiting
+
+
+def test_memory_of_a_hot_key_is_bounded():
+    ts = np.random.default_rng(1).integers(0, 10**9, 600_000)
+    made = frames(ts, np.arange(len(ts)), 1)
+    bucket = Bucket(WINDOW, "refill", "first_hit", None)
+    bucket._state = Held()
+    tracemalloc.start()
+    try:
+        assert sum(len(f) for f in bucket.handleInputRows(("k",), made, None)) == len(ts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 << 20, peak

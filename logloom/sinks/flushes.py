@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from logloom.functions.document import archive_path
 from logloom.operators.segments import DEFAULT_MAX_BYTES, DEFAULT_MAX_SECONDS, flush_segments
 from logloom.session import stored
+from logloom.sinks import objects
 from logloom.sinks.tables import NO_BATCH, TEXT_CODECS
 
 SUCCESS, FAILURE = "success", "failure"
@@ -76,11 +77,16 @@ def write_flushes(
     key = [segmented["topic"].eqNullSafe(plan["topic"]), segmented["flush_window"] == plan["flush_window"], segmented["segment"] == plan["segment"]]
     named = segmented.join(plan.select("topic", "flush_window", "segment", "object"), key).select(segmented["topic"], "object", "ts", "seq", F.col("line").alias("value"))
     ordered = named.repartition("topic", "object").sortWithinPartitions("topic", "object", "ts", "seq").select("topic", "object", "value")
-    writer = ordered.write.partitionBy("topic", "object").mode("overwrite").option("partitionOverwriteMode", "static")
+    folder = objects.shared_folder(spark, target) if compression in objects.CODECS else None
     manifest = plan.withColumn("batch_id", F.lit(batch_id).cast("long"))
     failed = f"{_manifest(path)}-failures/batch_id={batch_id}"
+    _delete(spark, f"{_manifest(path)}/batch_id={batch_id}")  # until all is written nothing vouches for the batch
     try:
-        if compression == "zstd":
+        writer = ordered.write.partitionBy("topic", "object").mode("overwrite").option("partitionOverwriteMode", "static")
+        if folder:
+            _delete(spark, target)
+            objects.write_objects(ordered, folder, f"{target}/{objects.LISTED}", compression)
+        elif compression == "zstd":
             writer.option("compression", "zstd").parquet(target)
         else:
             writer.option("compression", compression or "none").text(target)
@@ -100,14 +106,30 @@ def _manifest(path: str) -> str:
     return f"{path.rstrip('/')}/_manifest"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _at(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _named(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the files and folders that a pattern fits."""
+    files, target = _at(spark, pattern)
+    return [found.getPath().getName() for found in files.globStatus(target) or []]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, target = _at(spark, path)
+    files.delete(target, True)
+
+
+def _listed(spark: SparkSession, path: str) -> bool:
+    """Whether tasks wrote the objects of every batch in the manifest."""
+    return all(_named(spark, f"{path.rstrip('/')}/{batch}/{objects.LISTED}/_SUCCESS") for batch in _named(spark, f"{_manifest(path)}/batch_id=*"))
 
 
 def read_manifest(spark: SparkSession, path: str, failures: bool = False) -> DataFrame:
     """The manifest's rows; with ``failures`` also those of writes that failed. Folders with a leading underscore are no archive."""
-    parts = [p for p in (_manifest(path), f"{_manifest(path)}-failures")[: 1 + failures] if _exists(spark, p)]
+    parts = [p for p in (_manifest(path), f"{_manifest(path)}-failures")[: 1 + failures] if _named(spark, f"{p}/batch_id=*")]
     found = spark.createDataFrame([], MANIFEST)
     for part in parts:
         found = found.unionByName(spark.read.schema(MANIFEST).option("basePath", part).parquet(f"{part}/batch_id=*"))
@@ -116,12 +138,15 @@ def read_manifest(spark: SparkSession, path: str, failures: bool = False) -> Dat
 
 def read_archive(spark: SparkSession, path: str, compression: str = "gzip") -> DataFrame:
     """topic, object, value, batch_id of the lines that the manifest vouches for; other objects are not read as results."""
+    named = read_manifest(spark, path).filter(F.col("outcome") == SUCCESS).select("batch_id", "topic", "object")
+    folder = objects.shared_folder(spark, path) if compression in objects.CODECS else None
+    if folder and _listed(spark, path):
+        return objects.read_objects(named, folder)
     schema = "value string, batch_id bigint, topic string, object string"
     reader = spark.read.schema(schema).option("basePath", path)
     files = f"{path.rstrip('/')}/batch_id=*"
     lines = reader.parquet(files) if compression == "zstd" else reader.format("text").load(files)
-    good = read_manifest(spark, path).filter(F.col("outcome") == SUCCESS).select("batch_id", "topic", "object")
-    return lines.join(good, ["batch_id", "topic", "object"], "left_semi").select("topic", "object", "value", "batch_id")
+    return lines.join(named, ["batch_id", "topic", "object"], "left_semi").select("topic", "object", "value", "batch_id")
 
 
 def uploads(manifest: DataFrame, *labels: str) -> DataFrame:

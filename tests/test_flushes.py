@@ -4,6 +4,7 @@ import gzip
 from pathlib import Path
 
 import pytest
+from pyspark.sql import DataFrameReader, DataFrameWriter
 from pyspark.sql import functions as F
 
 from logloom.operators.segments import flush_segments
@@ -60,6 +61,44 @@ def test_readers_trust_the_manifest_only(spark, tmp_path, compression):
     assert sum(n for _, n in total.values()) == 450 and {o for _, o in total} == {"success"}
 
 
+@pytest.mark.parametrize("compression", ["gzip", ""])
+def test_tasks_read_and_write_objects_as_spark_does(spark, tmp_path, monkeypatch, compression):
+    path = str(tmp_path / "archive")
+    odd = F.element_at(F.array(*map(F.lit, ["a/b", "c=d %{[^]}", "ü: #\"'*?\\", "plain\x01\x7f"])), (F.col("event_id") % 4 + 1).cast("int"))
+    text = F.when(F.col("event_id") % 5 == 0, F.concat("line", F.lit("\r\n\nü\rx\r\n"))).otherwise(F.col("line"))
+    flushes.write_flushes(lines(spark).withColumns({"topic": odd, "line": text}), path, seq="event_id", max_bytes=200, max_seconds=600, compression=compression)
+    manifest = {(r.topic, r.object) for r in flushes.read_manifest(spark, path).collect()}
+    listed = [r.value for r in spark.read.text(f"{path}/batch_id=-1/_objects").collect()]
+    assert len(manifest) == len(set(listed)) == len(listed) > 30 and all((tmp_path / "archive" / "batch_id=-1" / name).is_dir() for name in listed)
+    assert not [f for f in (tmp_path / "archive" / "batch_id=-1").glob("topic=*/object=*/.*")]
+    (tmp_path / "archive" / "batch_id=-1" / "_objects" / "_SUCCESS").rename(tmp_path / "aside")
+    by_spark = sorted(map(tuple, flushes.read_archive(spark, path).collect()))
+    (tmp_path / "aside").rename(tmp_path / "archive" / "batch_id=-1" / "_objects" / "_SUCCESS")
+
+    def refuse(*_):
+        raise OSError("lists all objects")
+
+    monkeypatch.setattr(DataFrameReader, "load", refuse)
+    found = flushes.read_archive(spark, path)
+    assert sorted(map(tuple, found.collect())) == by_spark and {r[:2] for r in by_spark} == manifest
+    assert found.rdd.getNumPartitions() > 1
+
+
+def test_nothing_vouches_for_a_batch_whose_second_run_failed(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "archive")
+    flushes.write_flushes(lines(spark, 40), path, 0, seq="event_id", max_bytes=100)
+    flushes.write_flushes(lines(spark, 40, 40), path, 1, seq="event_id", max_bytes=100)
+
+    def refuse(*_):
+        raise OSError("no space")
+
+    with monkeypatch.context() as patch, pytest.raises(OSError):
+        patch.setattr(DataFrameWriter, "text", refuse)
+        flushes.write_flushes(lines(spark, 40), path, 0, seq="event_id", max_bytes=100)
+    assert {r.batch_id for r in flushes.read_manifest(spark, path).collect()} == {1}
+    assert sorted(int(r.value.split()[-1]) for r in flushes.read_archive(spark, path).collect()) == list(range(40, 80))
+
+
 def test_a_failed_write_is_noted_and_raised(spark, tmp_path, monkeypatch):
     from pyspark.sql import DataFrameWriter
 
